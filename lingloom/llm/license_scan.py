@@ -126,10 +126,19 @@ class Scanner:
         return np.diff(first), base, fuzzy
 
 
+def _disjoint(found: set[tuple]) -> list[tuple]:
+    """Of overlapping spans, those with fewest edits, then the longest."""
+    kept: list[tuple] = []
+    for s in sorted(found, key=lambda s: (s[3], s[1] - s[2], s[1], s[0])):
+        if all(s[2] <= t[1] or s[1] >= t[2] for t in kept):
+            kept.append(s)
+    return kept
+
+
 def scan(docs: DataFrame, notices: dict[str, str] | None = None, edit_every: int = EDIT_EVERY) -> DataFrame:
     """One row per document: word count, exact phrase places, labels, score and the byte spans of fuzzy notices.
 
-    ``spans`` are byte offsets in the document's text; overlapping finds of a label keep the one with fewest edits.
+    ``spans`` are byte offsets in the document's text; of overlapping finds the one with fewest edits stays, then the longest.
     ``score`` is 1 for an exact phrase, else the best share of a notice's characters that needed no edit, else 0.
     """
 
@@ -141,16 +150,13 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, edit_every: int
             out["spans"] = [[] for _ in counts]
             for d in base.keys() | fuzzy.keys():
                 places, found = base.get(d, []), fuzzy.get(d, [])
+                kept = _disjoint({s for s, _ in found})
                 if places:
                     out["n_base"][d], out["first_word"][d], out["last_word"][d] = len(places), min(places)[0], max(places)[0]
                     out["base_labels"][d] = ",".join(sorted({label for _, label in places}))
-                out["labels"][d] = ",".join(sorted({label for _, label in places} | {s[0] for s, _ in found}))
+                out["labels"][d] = ",".join(sorted({label for _, label in places} | {s[0] for s in kept}))
                 out["score"][d] = 1.0 if places else max(x for _, x in found)
-                kept: list[tuple] = []
-                for s in sorted({s for s, _ in found}, key=lambda s: (s[3], s[1], s[2], s[0])):
-                    if all(s[0] != t[0] or s[2] <= t[1] or s[1] >= t[2] for t in kept):
-                        kept.append(s)
-                out["spans"][d] = [dict(zip(("label", "start", "stop", "edits"), s, strict=True)) for s in sorted(kept, key=lambda s: s[1:])]
+                out["spans"][d] = [dict(zip(("label", "start", "stop", "edits"), (s[0], s[1] - offsets[d], s[2] - offsets[d], s[3]), strict=True)) for s in sorted(kept, key=lambda s: s[1:])]
             schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())])))])
             yield pa.RecordBatch.from_arrays([part.column("doc_id") if f.name == "doc_id" else pa.array(counts if f.name == "n_words" else out[f.name], f.type) for f in schema], schema=schema)
 

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, quality_classifier, quality_rules
+from . import language_id, license_scan, packing, quality_classifier, quality_rules, token_counts
 from .frames import read
+from .store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -24,5 +34,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_quality_rules, op8_quality_classifier, op9_license_scan)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted as one batch, and the batch committed again, which must change nothing."""
+    rollup = token_counts.Rollup(spark, f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}")
+    changes = token_counts.inserts(token_counts.count(read(spark, sf_dir, "documents")))
+    for _ in range(2):
+        rollup.commit("documents", changes)
+    return rollup.totals()
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op4_packing, op5_quality_rules, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
