@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, license_scan, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import decontaminate, language_id, license_scan, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .frames import read
 from .store import shared_dir
 
@@ -26,6 +26,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(read(spark, sf_dir, "documents"))
 
@@ -47,5 +51,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_quality_rules, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_quality_rules, op6_decontamination, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
