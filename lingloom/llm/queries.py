@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
 from .frames import read
 from .store import shared_dir
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op4_packing, op5_quality_rules, op6_decontamination, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op5_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_ngram_join, op4_packing, op5_quality_rules, op6_decontamination, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL}
