@@ -7,13 +7,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, token_counts, toxicity
+from . import decontaminate, language_id, license_scan, ngram_join, packing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity
 from .frames import read
 from .store import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,5 +59,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_toxicity, op3_ngram_join, op4_packing, op5_quality_rules, op6_decontamination, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {"op3_ngram_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_suffix_dedup, op2_toxicity, op3_ngram_join, op4_packing, op5_quality_rules, op6_decontamination, op7_language_id, op8_quality_classifier, op9_license_scan, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.SQL, "op3_ngram_join": ngram_join.SQL, "op5_quality_rules": quality_rules.SQL}
