@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that hand documents on, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages that hand documents on, each written as Parquet and read again by the next.
+
+Toxic documents go; of each group of near copies one document stays; passages that repeat across documents are cut;
+documents with benchmark items go; what is left is packed into training sequences.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +10,50 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lingloom.llm import decontaminate, ngram_join, packing, suffix_dedup, toxicity
+from lingloom.llm.frames import read
 from lingloom.llm.store import shared_dir
 
-STAGES: list = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among them, doesn't call toxic."""
+    return toxicity.keep_clean(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest document of each group of linked documents."""
+    return ngram_join.keep_one(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that a smaller one has."""
+    return suffix_dedup.strip(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_copies),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+#: A trained classifier and a tokenizer have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows; each stage reads what the one before it wrote to the shared folder."""
+    docs = read(spark, sf_dir, "documents")
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")

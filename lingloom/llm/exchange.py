@@ -8,12 +8,12 @@ group sends it once, so what a bucket holds is bounded by its share of the space
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .frames import id_text, text_bytes
@@ -31,10 +31,14 @@ class Layout:
         self.bits = max(4, int(self.groups - 1).bit_length())
 
 
+def group_of(layout: Layout) -> Column:
+    """The group of a row: a hash of id and text, so equal ids or texts alone don't gather."""
+    return F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), F.lit(layout.groups)).cast("int")
+
+
 def grouped(docs: DataFrame, layout: Layout) -> DataFrame:
     """(g, doc_id, text), each group in one partition; every later pass over groups reuses this exchange."""
-    rows = id_text(docs)
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.groups)).cast("int").alias("g"), "doc_id", "text").repartition(layout.groups, "g")
+    return id_text(docs).select(group_of(layout).alias("g"), "doc_id", "text").repartition(layout.groups, "g")
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -101,7 +105,3 @@ def read_replies(table: pa.Table, hashes: np.ndarray, layout: Layout) -> np.ndar
 
 def layout_of(docs: DataFrame) -> Layout:
     return Layout(text_bytes(id_text(docs)))
-
-
-def group_rows(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    yield from table.to_batches()

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -77,7 +77,7 @@ def sets(docs: DataFrame, layout: Layout) -> DataFrame:
             prints = [fingerprint(s) for s in all_]
             yield pa.RecordBatch.from_arrays([part.column("g"), part.column("doc_id"), pa.array([len(s) for s in all_], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], ["g", "doc_id", "n_shingles", "f1", "f2"])
 
-    dealt = id_text(docs).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.groups)).cast("int").alias("g"), "doc_id", "text")
+    dealt = id_text(docs).select(exchange.group_of(layout).alias("g"), "doc_id", "text")
     return in_arrow(dealt, rows, "g int, doc_id long, n_shingles long, f1 long, f2 long")
 
 
@@ -215,6 +215,17 @@ def join(docs: DataFrame) -> DataFrame:
     return own.join(names, own.doc_id == names.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component, one row each; null ids stay as they are."""
+    names = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    at = "rank"
+    while at in docs.columns:
+        at += "_"
+    with_id = docs.where("doc_id IS NOT NULL").join(names, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn(at, rank).where(F.col(at) == 1).drop(at)
+    return with_id.unionAll(docs.where("doc_id IS NULL"))
+
+
 #: The same components in SQL, over the view ``documents``.
 SQL = r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

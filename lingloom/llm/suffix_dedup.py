@@ -352,9 +352,8 @@ def removed(group: Group, mail: pa.Table, layout: Layout) -> np.ndarray:
     return mask
 
 
-def _passes(docs: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """(texts by group, all mail for the groups: which anchors are shared, and which bytes go)."""
-    texts = grouped(docs, layout)
+def _passes(texts: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """Of texts by group: the texts, and all mail for the groups: which anchors are shared, and which bytes go."""
 
     def send(table: pa.Table) -> pa.Table:
         group = Group(table)
@@ -374,10 +373,46 @@ def _passes(docs: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
     return texts, shared.unionAll(runs)
 
 
+def whole_characters(mask: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """The mask without UTF-8 characters that it holds only in part."""
+    if not len(data):
+        return mask
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if not len(starts) or starts[0]:
+        starts = np.concatenate([[0], starts])
+    return np.repeat(np.logical_and.reduceat(mask, starts), np.diff(np.append(starts, len(data))))
+
+
+def strip(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the repeated passages cut from ``text``, at whole characters; ``n_chars`` follows if present.
+
+    A text that is all repeats becomes empty; a null text stays null.
+    """
+    layout, columns = layout_of(docs), docs.columns
+    key = "g"
+    while key in columns:
+        key += "_"
+    rows = docs.withColumn(key, exchange.group_of(layout)).repartition(layout.groups, key)
+    texts = rows.select(F.col(key).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    _, mail = _passes(texts, layout)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        group = Group(left)
+        mask = whole_characters(removed(group, right, layout), group.data)
+        at, old = group.offsets, left.column("text").to_pylist()
+        new = [None if t is None else group.data[a:b][~mask[a:b]].tobytes().decode("utf-8", "replace") if mask[a:b].any() else t for t, a, b in zip(old, at[:-1], at[1:], strict=True)]
+        out = {c: left.column(c) for c in columns} | {"text": pa.array(new, pa.string())}
+        if "n_chars" in out:
+            out["n_chars"] = pa.array([x if t == u else len(u) for x, t, u in zip(out["n_chars"].to_pylist(), old, new, strict=True)], left.column("n_chars").type)
+        return pa.table(out)
+
+    return rows.groupBy(key).cogroup(mail.groupBy("g")).applyInArrow(finish, docs.schema)
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """One row per document: bytes, removed bytes, removed runs, and the hash of what is left."""
     layout = layout_of(docs)
-    texts, mail = _passes(docs, layout)
+    texts, mail = _passes(grouped(docs, layout), layout)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left)
