@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .frames import id_text, text_bytes
 from .textbuf import U64
 
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 MAIL = "g int, bucket int, blob binary"
 
 

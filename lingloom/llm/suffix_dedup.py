@@ -33,6 +33,8 @@ from .textbuf import U64, Hashes, chunks, mix64, per_doc, spans
 
 LENGTH, SEED = 50, 24
 NO_ID = np.iinfo(np.int64).max
+#: Text that is hashed, and that is sorted, at a time (more if one document or one anchor has more).
+HASH_BYTES = SORT_BYTES = 1 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -203,7 +205,7 @@ class Group:
     def __init__(self, table: pa.Table) -> None:
         parts, size = [], 0
         texts, offsets, doc_ids, ends = [], [np.zeros(1, np.int64)], [], 0
-        for part, data, at in chunks(table):
+        for part, data, at in chunks(table, limit=HASH_BYTES):
             raw = part.column("doc_id")
             ids = raw.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
             s = stretches(data, at, ids)
@@ -269,7 +271,7 @@ def _letters(group: Group, g: int, some: np.ndarray, layout: Layout) -> pa.Table
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
-    """Sorts a bucket's suffixes; replies (g, first byte, stop byte) runs to each group."""
+    """Sorts a bucket's suffixes, some anchors at a time; replies (g, first byte, stop byte) runs to each group."""
     columns, texts, owners = [], [], []
     for g, blob in zip(table.column("g").to_pylist(), table.column("blob").to_pylist(), strict=True):
         n = int.from_bytes(blob[:4], "little")
@@ -279,6 +281,26 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
         owners.append(np.full(n, g, np.int64))
     anchor, ids, home, size = np.concatenate(columns, 1)
     anchor, owner, data = anchor.view(U64), np.concatenate(owners), np.concatenate(texts)
+    at = np.cumsum(size) - size
+    order = np.argsort(anchor, kind="stable")
+    border = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
+    block = np.maximum.accumulate(np.where(border, (np.cumsum(size[order]) - size[order]) // SORT_BYTES, 0))
+    found = []
+    for some in np.split(order, np.flatnonzero(np.diff(block)) + 1):
+        n = size[some]
+        text = data[np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        which, first, stop = _sorted(text, anchor[some], ids[some], n)
+        found.append((owner[some][which], home[some][which] + first, home[some][which] + stop + LENGTH))
+    g, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((a, g))
+    g, a, b = g[order], a[order], b[order]
+    edges = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
+    blobs = [zstandard.compress(np.concatenate([a[x:y], b[x:y]]).astype("<i8").tobytes(), 1) for x, y in zip(edges, edges[1:], strict=False)]
+    return exchange.mail(g[edges[:-1]].tolist(), [-1] * len(blobs), blobs)
+
+
+def _sorted(data: np.ndarray, anchor: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first, last window) of the runs of windows that go, of stretches laid end to end."""
     start = np.cumsum(size) - size
     last = start + size - LENGTH
     whole = mix64(Hashes(data).of(start, start + size) + size.astype(U64))
@@ -300,12 +322,7 @@ def _sorted_bucket(table: pa.Table) -> pa.Table:
         at, first_, stop_ = _repeats(which, first, stop, lead[again])
         runs += [(which, first, stop), (again[at], first_, stop_)]
     which, first, stop = (np.concatenate(x) for x in zip(*runs, strict=True))
-    g, a, b = owner[which], home[which] + first, home[which] + stop + LENGTH
-    order = np.lexsort((a, g))
-    g, a, b = g[order], a[order], b[order]
-    edges = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
-    blobs = [zstandard.compress(np.concatenate([a[x:y], b[x:y]]).astype("<i8").tobytes(), 1) for x, y in zip(edges, edges[1:], strict=False)]
-    return exchange.mail(g[edges[:-1]].tolist(), [-1] * len(blobs), blobs)
+    return which, first, stop
 
 
 def _repeats(which: np.ndarray, first: np.ndarray, stop: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

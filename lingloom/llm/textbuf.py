@@ -58,7 +58,7 @@ class Hashes:
     """Polynomial prefix hashes modulo 2**64 of a byte buffer: the hash of any substring in constant time."""
 
     def __init__(self, data: np.ndarray) -> None:
-        self.up, down = _powers(max(CHUNK * 2, 1 << max(0, len(data) - 1).bit_length()))
+        self.up, down = _powers(max(CHUNK, 1 << max(0, len(data) - 1).bit_length()))
         self.prefix = np.zeros(len(data) + 1, U64)
         values = _byte_values()[data]
         values *= down[: len(data)]
