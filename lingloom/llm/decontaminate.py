@@ -4,8 +4,9 @@ Texts and benchmark items become tokens (runs of letters and digits, lower case)
 become typed placeholders and so do names (capitalised words inside a sentence); in a second form names stay words, for
 texts whose case was changed. Windows of ``WINDOW`` template tokens (whole items if shorter) are joined by hash.
 Matched windows line an item up with a document; the values that fill a placeholder must then be consistent: one
-value of the item always stands for the same value of the document, and different values for different ones. An item
-is found if its matched tokens number ``ENOUGH``, or half of the item if that is less, so re-parameterised copies count.
+value of the item always stands for the same value of the document, and different values for different ones; else only
+windows without any change count. An item is found if its matched tokens number ``ENOUGH``, or half of the item if
+that is less, so re-parameterised copies count.
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK`` bytes of text, so what a task holds is
 bounded however large it is; documents are scanned whole, once per block, and never shuffled. Items with fewer than
@@ -145,32 +146,36 @@ class Index:
         return found
 
     def _verify(self, t: Tokens, hits: set[tuple[int, int, int]]) -> tuple[set[int], bool]:
-        """Item tokens of the best consistent alignments, longest first; literal tokens are compared again."""
-        shifts: dict[int, set[int]] = defaultdict(set)
+        """Item tokens of all alignments, longest first; literal tokens are compared again. Where the slots of an
+        alignment are inconsistent, only its windows without any change count."""
+        shifts: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for shift, token, n in hits:
-            shifts[shift].update(range(token, token + n))
+            shifts[shift].append((token, n))
         matched, changed = set(), False
-        for shift, tokens in sorted(shifts.items(), key=lambda x: (-len(x[1]), x[0])):
-            to: dict[tuple, int] = {}
-            back: dict[tuple, int] = {}
-            ok, differs = True, False
-            for token in sorted(tokens):
-                a, b = token - shift, token
-                x, y, kind = int(self.tokens.literal[a]), int(t.literal[b]), int(self.tokens.kind[a])
-                if x == y and not kind:
-                    continue
-                if not kind or (kind != int(t.kind[b]) and x != y):
-                    ok = False
-                    break
-                if to.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x:
-                    ok = False
-                    break
-                differs |= x != y
-            if ok:
-                matched |= {token - shift for token in tokens}
-                changed |= differs
+        for shift, windows in sorted(shifts.items(), key=lambda x: (-len(x[1]), x[0])):
+            tokens = sorted({token + k for token, n in windows for k in range(n)})
+            same = {b: int(self.tokens.literal[b - shift]) == int(t.literal[b]) for b in tokens}
+            ok, differs = self._consistent(t, shift, tokens)
+            if not ok:
+                tokens = [token + k for token, n in windows if all(same[token + k] for k in range(n)) for k in range(n)]
+            matched |= {b - shift for b in tokens}
+            changed |= ok and differs
         return matched, changed
 
+    def _consistent(self, t: Tokens, shift: int, tokens: list[int]) -> tuple[bool, bool]:
+        """(whether values map one to one and literals agree, whether any value differs)."""
+        to: dict[tuple[int, int], int] = {}
+        back: dict[tuple[int, int], int] = {}
+        differs = False
+        for b in tokens:
+            x, y, kind = int(self.tokens.literal[b - shift]), int(t.literal[b]), int(self.tokens.kind[b - shift])
+            if kind != int(t.kind[b]) and x != y or not kind and x != y:
+                return False, False
+            if kind and (to.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x):
+                return False, False
+            differs |= x != y
+        return True, differs
+
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[Index]:
     """Indexes of the benchmark, ``limit`` bytes of text each, one at a time."""
