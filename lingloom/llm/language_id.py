@@ -164,7 +164,8 @@ def train(docs: DataFrame, limit: int = LIMIT) -> Model | None:
             yield made.filter(pa.array(keep))
 
     grams = in_arrow(id_text(sample, "lang"), rows, "doc_id long, lang string, i array<int>, n array<int>")
-    got = grams.limit(limit).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    # The sample holds little more than ``limit`` rows, so the order is made of few.
+    got = grams.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     return fit([(np.array(i), np.array(n, float), y) for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["lang"].to_pylist(), strict=True)])
 
 
