@@ -9,7 +9,8 @@ landmarks and a linear machine is trained on them with the hinge loss, the witne
 being chosen anew in each round. A document's score is the logistic of its worst
 sentence, one half at the border that FALSE_RATE of the clean training documents exceed.
 
-Only the training sample is bounded: ``limit`` labelled documents outside the held-out fold, ``SENTENCES`` sentences each.
+Only the training sample is bounded: ``limit`` labelled documents outside the held-out fold, ``SENTENCES``
+sentences each, chosen by hash (a longer sentence counts as several of ``SENTENCE_BYTES``).
 Every whole text is scored; words longer than ``LONG`` letters are read in overlapping windows.
 
 Null text is the empty text and scores as one without a marked word. Without labelled documents of both classes the
@@ -342,7 +343,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         texts = []
         for text in batch.column("text").to_pylist():
-            parts = [p.encode()[:SENTENCE_BYTES] for p in re.split(r"(?<=[.!?\n])", text or "") if p.strip()]
+            whole = [p.encode() for p in re.split(r"(?<=[.!?\n])", text or "") if p.strip()]
+            parts = [p[k : k + SENTENCE_BYTES] for p in whole for k in range(0, len(p), SENTENCE_BYTES)]
             if len(parts) > SENTENCES:
                 keep = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), i))[:SENTENCES]
                 parts = [parts[i] for i in sorted(keep)]
