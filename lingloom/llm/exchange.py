@@ -13,7 +13,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .frames import id_text, text_bytes
@@ -75,7 +75,12 @@ def mail(g: list[int], bucket: list[int], blob: list[bytes]) -> pa.Table:
     return pa.table({"g": pa.array(g, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "blob": pa.array(blob, pa.binary())})
 
 
-def replies(sent: DataFrame, answer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def by_bucket(sent: DataFrame, layout: Layout) -> GroupedData:
+    """Mail by bucket, in as many partitions as there are buckets: their number follows the input, not a setting."""
+    return sent.repartition(1 << layout.bits, "bucket").groupBy("bucket")
+
+
+def replies(sent: DataFrame, layout: Layout, answer: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(g, bucket, blob): for each fingerprint sent, ``answer`` of its corpus-wide count, a byte each."""
 
     def bucket(table: pa.Table) -> pa.Table:
@@ -90,7 +95,7 @@ def replies(sent: DataFrame, answer: Callable[[np.ndarray], np.ndarray]) -> Data
         ends = np.cumsum([len(k) for k, _ in parts])
         return mail(table.column("g").to_pylist(), table.column("bucket").to_pylist(), [zstandard.compress(r.tobytes(), 1) for r in np.split(reply, ends[:-1])])
 
-    return sent.groupBy("bucket").applyInArrow(bucket, MAIL)
+    return by_bucket(sent, layout).applyInArrow(bucket, MAIL)
 
 
 def read_replies(table: pa.Table, hashes: np.ndarray, layout: Layout) -> np.ndarray:

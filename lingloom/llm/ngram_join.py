@@ -123,7 +123,7 @@ def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
 
     sent = texts.groupBy("g").cogroup(by_group.groupBy("g")).applyInArrow(send, exchange.MAIL)
     # One class alone: 0; else the logarithm of the number of classes, in steps that a byte can hold.
-    answered = exchange.replies(sent, lambda total: np.where(total < 2, 0, np.clip(np.round(np.log2(np.maximum(total, 2)) * 6), 1, 255)))
+    answered = exchange.replies(sent, layout, lambda total: np.where(total < 2, 0, np.clip(np.round(np.log2(np.maximum(total, 2)) * 6), 1, 255)))
     mail = answered.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(by_group.select("g", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids"))
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:

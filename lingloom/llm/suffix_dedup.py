@@ -80,7 +80,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> Stretch
     last = ends[np.searchsorted(ends, start, "right")] - 1
     doc = np.searchsorted(offsets, start, "right") - 1
     whole = mix64(hashes.of(start, last + LENGTH) + (last - start).astype(U64))
-    return Stretches(start, last, seed[place[start]], whole, doc, ids[doc])
+    # Smallest hashes are all small: mixed once more, anchors fill the buckets evenly.
+    return Stretches(start, last, mix64(seed[place[start]]), whole, doc, ids[doc])
 
 
 class Suffixes:
@@ -343,7 +344,7 @@ def _anchor_place(data: np.ndarray, start: np.ndarray, last: np.ndarray, anchor:
         p = last + k
         on = np.flatnonzero(p <= start + LENGTH - SEED)
         p = p[on]
-        found = mix64(hashes.of(p, p + SEED)) == anchor[on]
+        found = mix64(mix64(hashes.of(p, p + SEED))) == anchor[on]
         at[on[found]] = p[found]
     return at - start
 
@@ -376,7 +377,7 @@ def _passes(texts: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
         group = Group(table)
         return exchange.letters(table.column("g")[0].as_py(), *group.fingerprints(), layout)
 
-    shared = exchange.replies(texts.groupBy("g").applyInArrow(send, exchange.MAIL), lambda total: (total > 1).astype(np.uint8))
+    shared = exchange.replies(texts.groupBy("g").applyInArrow(send, exchange.MAIL), layout, lambda total: (total > 1).astype(np.uint8))
 
     def post(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -386,7 +387,7 @@ def _passes(texts: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
         return _letters(group, left.column("g")[0].as_py(), lead[group.s.ids[lead] != NO_ID], layout)
 
     posted = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(post, exchange.MAIL)
-    runs = posted.groupBy("bucket").applyInArrow(_sorted_bucket, exchange.MAIL)
+    runs = exchange.by_bucket(posted, layout).applyInArrow(_sorted_bucket, exchange.MAIL)
     return texts, shared.unionAll(runs)
 
 
