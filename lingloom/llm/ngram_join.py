@@ -6,10 +6,11 @@ Shingles are ordered by corpus-wide document frequency, rarest first; linked set
 n - ceil(0.8 n) + 1, so the join is on these prefixes, where shingles of one class alone can be left out.
 
 The join never pairs up all members of a frequent shingle. Every member is first paired with the shingle's most central
-member (the one with the fewest rarer shingles), and links give components. Then only shingles whose members still lie in
-different components are joined in full, members outside the shingle's largest component against members of others: a
-link within a component changes nothing, so no link that matters is lost. Pairs pass length, positional and
-suffix filters, are made distinct, and are verified on the whole sets once.
+member (the one with the fewest rarer shingles), and links give components. Where members still lie in different
+components, those outside the shingle's largest component meet single members of it first (ROUNDS times), and then all
+others: a link within a component changes nothing, so no link that matters is lost. Pairs pass length, positional and
+suffix filters, are made distinct, and are verified on the whole sets once. The suffix filter bounds the sets' difference
+from below by parities: each range of hashes of which one set has an odd and the other an even number differs.
 
 Null or empty text and text without words: the empty set, linked with nothing. A null doc_id takes part in nothing and
 gets a null component. Rows with one doc_id and different texts are one node. An empty table gives an empty result.
@@ -18,10 +19,11 @@ gets a null component. Rows with one doc_id and different texts are one node. An
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import exchange
@@ -32,8 +34,11 @@ from .store import stored
 from .textbuf import U64, Hashes, chunks, lower_table, mix64, words
 
 WORDS, PERCENT = 5, 80
-PARTS = 16
-CANDIDATES = "doc_id long, n int, head array<struct<h:long,pos:int>>, parts array<int>, shingles binary"
+#: Bits of the suffix filter's parities, in longs.
+BITS, LONGS = 512, 8
+#: Rounds in which members outside a shingle's largest component meet other members of it, one each.
+ROUNDS = 1
+CANDIDATES = "doc_id long, n int, head array<struct<h:long,pos:int>>, parity array<long>, shingles binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -110,7 +115,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
-    """Representatives whose prefix has a shingle of another class, with prefix, set, and set counts by ``PARTS`` ranges."""
+    """Representatives whose prefix has a shingle of another class, with prefix, set, and parities of the set by ranges."""
     texts = grouped(docs, layout)
     by_group = reps.groupBy("g").agg(F.collect_list("doc_id").alias("ids"))
 
@@ -141,24 +146,46 @@ def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
                     continue
                 order = np.lexsort((s, f))[:prefix]
                 head = [{"h": int(x), "pos": k} for k, x in zip(range(alone, prefix), s[order[alone:]].astype(np.int64), strict=True)]
-                parts = np.bincount((s >> U64(64 - 4)).astype(np.int64), minlength=PARTS)
-                for column, x in zip(out, (doc, n, head, parts.tolist(), s.tobytes()), strict=True):
+                odd = np.bincount((s >> U64(64 - 9)).astype(np.int64), minlength=BITS) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                for column, x in zip(out, (doc, n, head, parity.tolist(), s.tobytes()), strict=True):
                     column.append(x)
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "head": pa.array(out[2], pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))), "parts": pa.array(out[3], pa.list_(pa.int32())), "shingles": pa.array(out[4], pa.binary())})
+        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "head": pa.array(out[2], pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))), "parity": pa.array(out[3], pa.list_(pa.int64())), "shingles": pa.array(out[4], pa.binary())})
 
     return texts.groupBy("g").cogroup(mail.groupBy("g")).applyInArrow(choose, CANDIDATES)
 
 
+def length(x: str, y: str) -> Column:
+    """Length filter: sets of such sizes can link."""
+    return 100 * F.least(F.col(x), F.col(y)) >= PERCENT * F.greatest(F.col(x), F.col(y))
+
+
+def enough(most: Column, total: Column) -> Column:
+    """Whether an overlap of at most ``most`` can link two sets of ``total`` members together."""
+    return (100 + PERCENT) * most >= PERCENT * total
+
+
+def near(n: str, p: str, m: str, q: str) -> Column:
+    """Positional filter for a shingle at places p and q of sets of n and m: all before it and all behind it may be shared."""
+    most = F.least(F.col(p), F.col(q)) + 1 + F.least(F.col(n) - F.col(p) - 1, F.col(m) - F.col(q) - 1)
+    return length(n, m) & enough(most, F.col(n) + F.col(m))
+
+
+def alike(n: str, x: str, m: str, y: str) -> Column:
+    """Suffix filter: twice the overlap is the sum of sizes less the difference, which the parities bound."""
+    apart = reduce(lambda s, t: s + t, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)])
+    total = F.col(n) + F.col(m)
+    return (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+
+
 def verified(pairs: DataFrame, sized: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (a, b): suffix filter by range counts, then the intersection of whole sets.
+    """The linked ones of distinct pairs (a, b): suffix filter, then the intersection of whole sets.
 
     Each pair's sets are laid side by side by two shuffles; a popular document's set is sent to where its pairs are.
     """
-    light = sized.select("doc_id", "n", "parts")
-    counts = pairs.join(light.toDF("a", "n_a", "p_a"), "a").join(light.toDF("b", "n_b", "p_b"), "b")
-    # Both sets in one range of hashes share at most the smaller count of the two.
-    most = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    passed = counts.where((100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+    light = sized.select("doc_id", "n", "parity")
+    sizes = pairs.join(light.toDF("a", "n_a", "p_a"), "a").join(light.toDF("b", "n_b", "p_b"), "b")
+    passed = sizes.where(length("n_a", "n_b") & alike("n_a", "p_a", "n_b", "p_b")).select("a", "b").distinct()
     whole = sized.select("doc_id", "shingles")
     side = passed.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
 
@@ -174,31 +201,53 @@ def verified(pairs: DataFrame, sized: DataFrame) -> DataFrame:
     return in_arrow(side, rows, "a long, b long").distinct()
 
 
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def links(found: DataFrame) -> DataFrame:
     """Links between candidates that, closed, give the components of all links."""
     heads = found.select("doc_id", "n", F.explode("head").alias("t")).select("doc_id", "n", "t.h", "t.pos")
-    length = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    enough = lambda most, x, y: (100 + PERCENT) * most >= PERCENT * (x + y)
-
     least = heads.groupBy("h").agg(F.min(F.struct("pos", "n", "doc_id")).alias("c"))
-    stars = heads.join(least.select("h", F.col("c.doc_id").alias("b"), F.col("c.n").alias("m"), F.col("c.pos").alias("q")), "h").where("doc_id <> b")
-    near = F.least("pos", "q") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("q") - 1)
-    first = stars.where(length(F.col("n"), F.col("m")) & enough(near, F.col("n"), F.col("m"))).select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b")).distinct()
-    first = stored(first)
-    linked = stored(verified(first, found))
+    stars = heads.join(least.select("h", F.col("c.doc_id").alias("x"), F.col("c.n").alias("m"), F.col("c.pos").alias("q")), "h").where("doc_id <> x").where(near("n", "pos", "m", "q"))
+    # Of its shingles' central members a document meets the most central one and another.
+    met = stars.groupBy("doc_id").agg(F.min(F.struct("q", "m", "x")).alias("u"), F.min(F.struct(F.xxhash64("x"), "x")).alias("v"))
+    tried = stored(met.select("doc_id", F.explode(F.array("u.x", "v.x")).alias("x")).select(*_pair("doc_id", "x")).distinct())
+    linked = stored(verified(tried, found))
+
+    for k in range(ROUNDS):
+        rest = _open(heads, linked)
+        heads = rest.select("doc_id", "n", "h", "pos")  # a shingle of one component stays so
+        # Of the largest component a member by a hash of shingle and round, so that a document meets many; of the others
+        # the most central one. Of these, a document meets one of each component.
+        member = F.struct(F.xxhash64("h", "doc_id", F.lit(k)).alias("o"), "doc_id", "n", "pos", "c")
+        central = F.struct(F.col("pos").cast("long").alias("o"), "doc_id", "n", "pos", "c")
+        chosen = rest.groupBy("h").agg(F.min(F.when(F.col("c") == F.col("top"), member)).alias("u"), F.min(F.when(F.col("c") != F.col("top"), central)).alias("v"))
+        meet = rest.where("c <> top").join(chosen, "h").select("doc_id", "n", "pos", "c", F.explode(F.array("u", "v")).alias("w")).select("doc_id", "n", "pos", "c", F.col("w.doc_id").alias("x"), F.col("w.n").alias("m"), F.col("w.pos").alias("q"), F.col("w.c").alias("d"))
+        one = meet.where(F.col("c") != F.col("d")).where(near("n", "pos", "m", "q")).groupBy("doc_id", "d").agg(F.min(F.struct(F.xxhash64("x", "doc_id"), "x")).alias("w"))
+        pairs = stored(one.select(*_pair("doc_id", "w.x")).distinct().join(tried, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            break
+        tried, linked = tried.unionAll(pairs), stored(linked.unionAll(verified(pairs, found)))
+
+    rest = _open(heads, linked).join(found.select("doc_id", "parity"), "doc_id")
+    outside = rest.where("c <> top").select("h", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("parity").alias("r"))
+    # Between two outsiders each pair comes once.
+    once = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("top")) | (F.col("doc_id") < F.col("x")))
+    met = rest.join(outside, "h").where(once & near("n", "pos", "m", "q") & alike("n", "parity", "m", "r"))
+    # The position of a pair's first shared shingle bounds its overlap.
+    first = met.groupBy(*_pair("doc_id", "x")).agg(F.max(F.col("n") + F.col("m")).alias("total"), F.max(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q"))).alias("most"))
+    last = first.where(enough(F.col("most"), F.col("total"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    return linked.unionAll(verified(last, found))
+
+
+def _open(heads: DataFrame, linked: DataFrame) -> DataFrame:
+    """Prefix entries of shingles whose members lie in several components: with the own and the largest component."""
     label = components(linked)
-
     named = heads.join(label, heads.doc_id == label.node, "left").select("doc_id", "n", "h", "pos", F.coalesce("component", "doc_id").alias("c"))
     sizes = named.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"))
-    open_ = sizes.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("top.c").alias("top"))
-    rest = named.join(open_, "h")
-    outside = rest.where("c <> top").select("h", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"))
-    # The position of a pair's first shared shingle bounds its overlap; between two outsiders each pair comes once.
-    met = rest.join(outside, "h").where((F.col("c") != F.col("d")) & ((F.col("c") == F.col("top")) | (F.col("doc_id") < F.col("x"))) & length(F.col("n"), F.col("m")) & enough(near, F.col("n"), F.col("m")))
-    second = met.groupBy(F.least("doc_id", "x").alias("a"), F.greatest("doc_id", "x").alias("b")).agg(
-        F.max(F.col("n") + F.col("m")).alias("sum"), F.max(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q"))).alias("most")
-    ).where(enough(F.col("most"), F.col("sum"), F.lit(0))).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return linked.unionAll(verified(second, found))
+    several = sizes.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("top.c").alias("top"))
+    return stored(named.join(several, "h"))
 
 
 def join(docs: DataFrame) -> DataFrame:
