@@ -45,5 +45,6 @@ class SegmentWords(Stage):
         # Half of a surrogate pair is no character of its own.
         scripts = known if out else java(*[r for n, r in SCRIPTS.items() if n != "Western"])
         borders.append(f"[^{known}{SKIP}\\x{{d800}}-\\x{{dfff}}]{LOOK}(?=[{scripts}])")
-        col = F.regexp_replace(col, broken, "$1\u200b")
-        return F.regexp_replace(col, f"((?:{'|'.join(borders)}))", "$1 ")
+        done = F.regexp_replace(F.regexp_replace(col, broken, "$1\u200b"), f"((?:{'|'.join(borders)}))", "$1 ")
+        # A text all Western has no border: one quick look instead of a try at each character.
+        return F.when(col.rlike(f"[^{western}{SKIP}]"), done).otherwise(col)
