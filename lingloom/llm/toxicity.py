@@ -4,10 +4,11 @@ The kernel of two words counts the three-letter subsequences they share, a gap w
 it skips, up to ``SPAN`` letters; it is normalised to one for equal words. Characters other than letters within a word
 are dropped and runs of single letters are joined, so ``i.d-i_o t`` forms keep their subsequences; inserted letters
 only lower them. A sentence's kernel with a landmark is that of its best word (0 below ``FLOOR``). Landmarks are words of
-the labelled sentences that mark toxic documents, and their nearest clean words; sentences are mapped by K^(-1/2) of the
+the labelled sentences that mark toxic documents beyond chance, however rare (the ``MARKED`` strongest at most), and their nearest clean words; sentences are mapped by K^(-1/2) of the
 landmarks and a linear machine is trained on them with the hinge loss, the witness sentence of each toxic document
-being chosen anew in each round. A document's score is the logistic of its worst
-sentence, one half at the border that FALSE_RATE of the clean training documents exceed.
+being chosen anew in each round. Stems (starts and ends of words) that clean documents hold as well, but rarely,
+count by their number: a passage has the evidence of a Poisson likelihood ratio (``Stems``). A document's score is the
+logistic of its worst sentence or passage, one half at the border that FALSE_RATE of the clean training documents exceed.
 
 Only the training sample is bounded: ``limit`` labelled documents outside the held-out fold, ``SENTENCES``
 sentences each, chosen by hash (a longer sentence counts as several of ``SENTENCE_BYTES``).
@@ -36,11 +37,17 @@ from .textbuf import U64, Hashes, byte_set, chunks, lower_table, mix64, words
 LIMIT, SENTENCES, SENTENCE_BYTES = 4_000, 64, 2_000
 DECAY, SPAN, FLOOR = 0.7, 6, 0.35
 LONG, WINDOW = 24, 16
-MARKED, NEAR = 32, 16
+MARKED, NEAR, FORM = 128, 16, 5
+#: Lengths of stems (starts and ends of words), and how often a document holds a stem at least.
+STEMS, TIMES = range(4, 10), (1, 2, 3)
+#: Chance, over all strings tested, that one of them is taken for a mark; strings that are looked at in detail.
+ALPHA, CANDIDATES, BUCKETS = 0.05, 4096, 1 << 21
+#: Largest evidence (log of a likelihood ratio) of one occurrence, and the least for a passage.
+MOST, EVIDENCE = 6.0, 3.0
+#: Kernel from which a word is taken for another form of the same word.
+SAME = 0.8
 #: Share of clean training documents that may lie above the border, where the score is one half.
 FALSE_RATE = 0.002
-#: A landmark has at least this share of the strongest mark's likelihood ratio.
-STRONG = 0.2
 LETTERS = 27
 PAIRS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
@@ -131,6 +138,225 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(compact, start[first], stop[first], which, doc, sentence)
 
 
+def strings(w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, distinct words, keys): whole words (kind 0), starts (length) and ends (-length) of longer words."""
+    hashes, length = Hashes(w.code), w.stop - w.start
+    for kind in [0, *STEMS, *(-k for k in STEMS)]:
+        some = np.flatnonzero(length > abs(kind)) if kind else np.arange(len(length))
+        start = w.stop[some] + kind if kind < 0 else w.start[some]
+        stop = w.start[some] + kind if kind > 0 else w.stop[some]
+        yield kind, some, mix64(hashes.of(start, stop) + (stop - start).astype(U64) + U64((kind + 64) << 32))
+
+
+def holdings(w: Words, some: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, document, occurrences) of the strings in ``n`` documents."""
+    different, at = np.unique(keys, return_inverse=True)
+    number = np.full(len(w.start), -1)
+    number[some] = at
+    of = number[w.which]
+    pairs, times = np.unique(of[of >= 0] * n + w.doc[of >= 0], return_counts=True)
+    return different[pairs // n], pairs % n, times
+
+
+def likelihood(a: np.ndarray, b: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Likelihood ratio of a string's documents (a of n1 toxic, b of n0 clean); 0 unless it marks the toxic ones."""
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    rate = np.maximum((a + b) / (n0 + n1), 1e-12)
+    n1, n0 = max(n1, 1e-9), max(n0, 1e-9)
+    ratio = 2 * (a * np.log(np.maximum(a, 1e-9) / (rate * n1)) + b * np.log(np.maximum(b, 1e-9) / (rate * n0)))
+    return np.where(a > rate * n1, ratio, 0.0)
+
+
+def forms(word: bytes, stems: set[tuple[int, int]]) -> set:
+    """What words of one cluster share: a stem, or the start or the end of FORM letters."""
+    code, n = np.frombuffer(word, np.uint8), np.zeros(1, np.int64)
+    own = {(kind, int(k)) for kind, _, keys in strings(Words(code, n, n + len(code), n, n, n)) for k in keys}
+    return own & stems | {b"<" + word[:FORM], b">" + word[-FORM:]}
+
+
+def once(texts: list[bytes]) -> list[bytes]:
+    """The texts without sentences that an earlier one has: copies are no further evidence."""
+    seen: set[bytes] = set()
+    out = []
+    for text in texts:
+        own = [p for p in re.split(rb"(?<=[.!?\n])", text) if p.strip() not in seen]
+        seen |= {p.strip() for p in own}
+        out.append(b"".join(own))
+    return out
+
+
+def border_of_chance(total: np.ndarray, n1: int, n0: int) -> float:
+    """Likelihood ratio that a chance string exceeds with ALPHA at most, among those frequent enough to reach it."""
+    reach = np.sort(2 * total * np.log((n0 + n1) / n1))
+    border = 4.0
+    while (need := 2 * np.log(max(1, len(reach) - np.searchsorted(reach, border)) / ALPHA)) > border:
+        border = min(need, border + 0.25)
+    return float(border)
+
+
+@dataclass
+class Stems:
+    """Strings that mark toxic documents by how often they occur: weights by key, and the rate of them all.
+
+    Evidence of a passage (a run of sentences) is the Poisson likelihood ratio of its marked words at the rate of toxic
+    documents, so that a string that clean texts hold now and then counts only where it is dense.
+    """
+
+    kinds: list[int]
+    keys: np.ndarray  # sorted
+    weights: np.ndarray
+    rate: float
+    least: float = EVIDENCE
+
+    def evidence(self, w: Words, n: int) -> np.ndarray:
+        """Of each document's strongest passage; 0 without a marked word."""
+        best = np.zeros(len(w.start))
+        for kind, some, keys in strings(w):
+            if kind in self.kinds:
+                at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                best[some] = np.maximum(best[some], np.where(self.keys[at] == keys, self.weights[at], 0))
+        out = np.zeros(n)
+        value = best[w.which]
+        held = np.unique(w.doc[value > 0])
+        if not len(held):
+            return out
+        keep = np.isin(w.doc, held)
+        order = np.lexsort((w.sentence[keep], w.doc[keep]))
+        sentence, doc, value = w.sentence[keep][order], w.doc[keep][order], value[keep][order] - self.rate
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        total, owner = np.add.reduceat(value, first), doc[first]
+        run, at = np.cumsum(total), np.flatnonzero(np.diff(owner, prepend=-1))
+        before = run - total
+        for a, b in zip(at, [*at[1:], len(owner)], strict=True):
+            out[owner[a]] = max(0.0, float((run[a:b] - np.minimum.accumulate(before[a:b])).max()))
+        return out
+
+    def over(self, evidence: np.ndarray) -> np.ndarray:
+        """Evidence beyond the least, in units of it; far below without any."""
+        return np.where(evidence > 0, (evidence - self.least) / self.least, -9.0)
+
+
+def find_marks(parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[list[bytes], Stems | None]:
+    """Words that mark toxic documents, and stems that do so by their number.
+
+    A string is tested by the documents that hold it at least once, twice or three times. Of the stems beyond chance
+    the strongest is taken, the toxic documents that it explains are set aside, and so on until none is beyond chance in
+    the documents that are left. Words beyond chance are all marks, however rare beside others, unless clean documents hold them.
+    """
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    bits = len(TIMES)
+
+    def pieces() -> Iterator[tuple[Words, np.ndarray, int]]:
+        done = 0
+        for d, o in parts:
+            yield find_words(d, o), y[done : done + len(o) - 1], done
+            done += len(o) - 1
+
+    # Documents by bucket of strings: at least those of any string in it, so that few strings are counted one by one.
+    total, toxic = {w: np.zeros(BUCKETS, np.int32) for w in (True, False)}, {w: np.zeros(BUCKETS, np.int32) for w in (True, False)}
+    for w, label, _ in pieces():
+        for kind, some, keys in strings(w):
+            key, doc, _ = holdings(w, some, keys, len(label))
+            at = (key & U64(BUCKETS - 1)).astype(np.int64)
+            total[kind == 0] += np.bincount(at, minlength=BUCKETS).astype(np.int32)
+            toxic[kind == 0] += np.bincount(at[label[doc] == 1], minlength=BUCKETS).astype(np.int32)
+    chance = {w: border_of_chance(t[t > 0], n1, n0) for w, t in total.items()}
+    least_toxic = {w: c / (2 * np.log((n0 + n1) / n1)) for w, c in chance.items()}
+    tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for w, label, _ in pieces():
+        for kind, some, keys in strings(w):
+            ok = toxic[kind == 0][(keys & U64(BUCKETS - 1)).astype(np.int64)] >= least_toxic[kind == 0] - 1e-9
+            key, doc, times = holdings(w, some[ok], keys[ok], len(label))
+            old, table = tables.get(kind, (np.zeros(0, U64), np.zeros((0, 2 * bits), np.int32)))
+            both, at = np.unique(np.concatenate([old, key]), return_inverse=True)
+            new = np.zeros((len(both), 2 * bits), np.int32)
+            new[at[: len(old)]] = table
+            for m, least in enumerate(TIMES):
+                held = times >= least
+                for c in (0, 1):
+                    new[:, 2 * m + c] += np.bincount(at[len(old) :][held & (label[doc] == c)], minlength=len(both)).astype(np.int32)
+            tables[kind] = both, new
+    del total, toxic
+
+    chosen: list[tuple[float, int, int, int]] = []  # (ratio, kind, key, times)
+    for word in (True, False):
+        found = []
+        for kind, (keys, table) in tables.items():
+            if (kind == 0) != word:
+                continue
+            ratios = np.stack([likelihood(table[:, 2 * m + 1], table[:, 2 * m], n1, n0) for m in range(1 if word else bits)], 1)
+            best = ratios.argmax(1)
+            ratio = ratios.max(1)
+            found += [(float(ratio[i]), kind, int(keys[i]), TIMES[best[i]]) for i in np.flatnonzero(ratio >= chance[word])]
+        chosen += sorted(found, reverse=True)[:CANDIDATES]
+    tables.clear()
+    if not chosen:
+        return [], None
+    number = {(k, key): i for i, (_, k, key, _) in enumerate(chosen)}
+    wanted = np.sort(np.array([key for _, _, key, _ in chosen], U64))
+    count = np.zeros((len(chosen), len(y)), np.uint16)
+    texts: dict[int, bytes] = {}
+    size = np.zeros(len(y))
+    for w, label, done in pieces():
+        size[done : done + len(label)] = np.bincount(w.doc, minlength=len(label))
+        for kind, some, keys in strings(w):
+            ok = np.isin(keys, wanted)
+            if ok.any():
+                some, keys = some[ok], keys[ok]
+                for key, doc, times in zip(*holdings(w, some, keys, len(label)), strict=True):
+                    count[number[kind, int(key)], done + doc] = min(times, 65535)
+                if not kind:
+                    texts.update((number[kind, int(k)], w.code[w.start[i] : w.stop[i]].tobytes()) for i, k in zip(some, keys, strict=True))
+    stems = [i for i, c in enumerate(chosen) if c[1]]
+    holds = np.stack([count[i] >= chosen[i][3] for i in stems]) if stems else np.zeros((0, len(y)), bool)
+    length = np.array([abs(chosen[i][1]) for i in stems])
+    left, use = y == 1, []
+    while len(stems) and left.any():
+        ratio = likelihood(holds[:, left].sum(1), holds[:, y == 0].sum(1), int(left.sum()), n0)
+        k = int(np.lexsort((length, ratio))[-1])
+        if ratio[k] < chance[False]:
+            break
+        use.append(stems[k])
+        left = left & ~holds[k]
+    # A word that more than FALSE_RATE of the clean documents hold is no mark by itself; of words with the same start or end one is a landmark.
+    word_list = [i for i, c in enumerate(chosen) if not c[1] and (count[i, y == 0] > 0).sum() <= max(1, FALSE_RATE * n0)]
+    use += word_list
+    marks, seen, shared = [], set(), {(chosen[i][1], chosen[i][2]) for i in use if chosen[i][1]}
+    for i in word_list:
+        own = forms(texts[i], shared)
+        if not own & seen:
+            marks.append(i)
+            seen |= own
+    weights = []
+    for i in use:
+        c, least = count[i].astype(float), chosen[i][3]
+        toxic, clean = (y == 1) & (c >= least), (y == 0) & (c > 0)
+        p1 = c[toxic].sum() / max(1.0, size[toxic].sum())
+        p0 = c[clean].sum() / size[clean].sum() if clean.any() else 0.5 / max(1.0, size[y == 0].sum())
+        weights.append(float(np.clip(np.log(p1 / p0), 0.0, MOST)) if p1 > 0 else 0.0)
+    any_ = np.maximum.reduce([count[i] for i in use]).astype(float)
+    toxic = (y == 1) & (any_ > 0)
+    rate = float(any_[toxic].sum() / size[toxic].sum())
+    keys = np.array([chosen[i][2] for i in use], U64)
+    order = np.argsort(keys)
+    return [texts[i] for i in marks[:MARKED]], Stems(sorted({chosen[i][1] for i in use}), keys[order], np.array(weights)[order], rate)
+
+
+def distinct(marked: list[bytes], parts: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> list[bytes]:
+    """The marks whose near forms (kernel from SAME on) at most FALSE_RATE of the clean documents hold."""
+    if not marked:
+        return []
+    kernel, done = Kernel(marked, len(marked)), 0
+    clean = np.zeros(len(marked), np.int64)
+    for d, o in parts:
+        doc, k = kernel.sentences(find_words(d, o))
+        doc, k = doc[y[done + doc] == 0], k[y[done + doc] == 0] >= SAME
+        row, mark = np.nonzero(k)
+        clean += np.bincount(np.unique(doc[row] * len(marked) + mark) % len(marked), minlength=len(marked))
+        done += len(o) - 1
+    return [m for m, c in zip(marked, clean, strict=True) if c <= max(1, FALSE_RATE * (y == 0).sum())]
+
+
 @dataclass
 class Kernel:
     """Kernels of words with the landmarks, for words that reach FLOOR with one of the first ``marked`` of them.
@@ -144,7 +370,7 @@ class Kernel:
 
     def __post_init__(self) -> None:
         self.matrix = vectors(self.landmarks)
-        self.most = self.matrix[: self.marked].max(0)
+        self.most = self.matrix[: self.marked].max(0, initial=0)
 
     def words(self, code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the near words, their kernels); kernels below FLOOR are 0."""
@@ -174,9 +400,8 @@ class Kernel:
         ok = k[:, : self.marked].any(1)
         return some[ok], k[ok]
 
-    def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def sentences(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(document, kernels) of the sentences with a near word; all others have zeros."""
-        w = find_words(data, offsets)
         ids, near = self.words(w.code, w.start, w.stop)
         row = np.full(len(w.start), -1)
         row[ids] = np.arange(len(ids))
@@ -198,17 +423,21 @@ def squash(margins: np.ndarray) -> np.ndarray:
 class Model:
     """f(sentence) = weights . kernels + bias; the score is the calibrated logistic of the worst sentence."""
 
-    def __init__(self, landmarks: list[bytes], marked: int, weights: np.ndarray, bias: float, slope: float, shift: float) -> None:
+    def __init__(self, landmarks: list[bytes], marked: int, weights: np.ndarray, bias: float, slope: float, shift: float, stems: Stems | None = None, border: float = 0.0) -> None:
         self.landmarks, self.marked, self.weights, self.bias, self.slope, self.shift = landmarks, marked, weights, bias, slope, shift
+        self.stems, self.border = stems, border
         self.kernel = Kernel(landmarks, marked)
 
     def __reduce__(self) -> tuple:
-        return Model, (self.landmarks, self.marked, self.weights, self.bias, self.slope, self.shift)
+        return Model, (self.landmarks, self.marked, self.weights, self.bias, self.slope, self.shift, self.stems, self.border)
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        w = find_words(data, offsets)
         worst = np.full(len(offsets) - 1, self.bias)
-        doc, k = self.kernel.sentences(data, offsets)
+        doc, k = self.kernel.sentences(w)
         np.maximum.at(worst, doc, k @ self.weights + self.bias)
+        if self.stems is not None:
+            worst = np.maximum(worst, self.border + self.stems.over(self.stems.evidence(w, len(offsets) - 1)))
         return worst
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -261,41 +490,34 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | float:
     data = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.cumsum([0, *map(len, texts)])
     parts = [(o[:-1], d, o) for o, d in _pieces(data, offsets)]
-    marks: dict[bytes, list[int]] = {}
+    single = once(texts)
+    marked, stems = find_marks([(d, o) for o, d in _pieces(np.frombuffer(b"".join(single), np.uint8), np.cumsum([0, *map(len, single)]))], y)
+    del single
+    marked = distinct(marked, [(d, o) for _, d, o in parts], y)
+    if not marked and stems is None:
+        return float(y.mean())
+    counts: dict[bytes, list[int]] = {}
     done = 0
     for _, d, o in parts:
         w = find_words(d, o)
         n = len(o) - 1
         pairs = np.unique(w.which * n + w.doc)
-        item, doc = pairs // n, pairs % n
-        toxic = np.bincount(item, y[done + doc], minlength=len(w.start)).astype(int)
-        total = np.bincount(item, minlength=len(w.start))
+        toxic = np.bincount(pairs // n, y[done + pairs % n], minlength=len(w.start)).astype(int)
+        total = np.bincount(pairs // n, minlength=len(w.start))
         for i in range(len(w.start)):
-            count = marks.setdefault(w.code[w.start[i] : w.stop[i]].tobytes(), [0, 0])
+            count = counts.setdefault(w.code[w.start[i] : w.stop[i]].tobytes(), [0, 0])
             count[1] += int(toxic[i])
             count[0] += int(total[i] - toxic[i])
         done += n
-    n0, n1 = (y == 0).sum(), (y == 1).sum()
-
-    def g2(count: list[int]) -> float:
-        """Likelihood ratio of a word's documents against the labels; 0 unless it marks label 1."""
-        a, b = count[1], count[0]
-        rate = (a + b) / (n0 + n1)
-        return 2 * (a * np.log(a / (rate * n1)) + (b * np.log(b / (rate * n0)) if b else 0)) if a > rate * n1 else 0.0
-
-    strong = sorted(((g2(c), i) for i, c in marks.items()), reverse=True)
-    marked = [i for s, i in strong[:MARKED] if s >= max(4.0, STRONG * strong[0][0])]
-    if not marked:
-        return float(y.mean())
-    clean = [i for i, c in marks.items() if c[0] >= max(1, c[1])]
+    clean = [i for i, c in counts.items() if c[0] >= max(1, c[1])]
     ends = np.cumsum([len(i) for i in clean])
     at, near = Kernel(marked, len(marked)).words(np.frombuffer(b"".join(clean), np.uint8), ends - [len(i) for i in clean], ends)
-    nearest = [clean[at[i]] for i in np.argsort(-near.max(1), kind="stable")[:NEAR]]
+    nearest = [clean[at[i]] for i in np.argsort(-near.max(1, initial=0), kind="stable")[:NEAR]]
     landmarks = marked + nearest
     kernel = Kernel(landmarks, len(marked))
     docs, k, done = [], [], 0
     for _, d, o in parts:
-        doc, values = kernel.sentences(d, o)
+        doc, values = kernel.sentences(find_words(d, o))
         docs.append(doc + done)
         k.append(values)
         done += len(o) - 1
@@ -310,9 +532,9 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | float:
     whole[whole < FLOOR] = 0
     zero = np.zeros((1, len(landmarks)))
     clean_rows = k[y[doc] == 0]
-    marked_part = k[:, : len(marked)].max(1)
-    weights, bias = np.zeros(len(landmarks)), 0.0
-    for _ in range(3):
+    marked_part = k[:, : len(marked)].max(1, initial=0)
+    weights, bias = np.zeros(len(landmarks)), 0.0 if marked else -1.0
+    for _ in range(3 if marked else 0):  # stems alone need no machine
         f = k @ weights + bias if weights.any() else marked_part
         toxic = np.flatnonzero(y[doc] == 1)
         order = toxic[np.lexsort((-f[toxic], doc[toxic]))]
@@ -325,8 +547,13 @@ def fit(texts: list[bytes], labels: list[int]) -> Model | float:
         weights = root @ w
     model = Model(landmarks, len(marked), weights, float(bias), 1.0, 0.0)
     margins = np.concatenate([model.margins(d, o) for _, d, o in parts])
-    model.slope, _ = _platt(squash(margins), y)
     border = min(0.95, max(0.0, float(np.quantile(margins[y == 0], 1 - FALSE_RATE))))
+    if stems is not None:
+        evidence = np.concatenate([stems.evidence(find_words(d, o), len(o) - 1) for _, d, o in parts])
+        stems.least = max(EVIDENCE, float(np.quantile(evidence[y == 0], 1 - FALSE_RATE)))
+        model.stems, model.border = stems, border
+        margins = np.maximum(margins, border + stems.over(evidence))
+    model.slope, _ = _platt(squash(margins), y)
     model.shift = -model.slope * float(squash(np.array([border]))[0])
     return model
 

@@ -69,6 +69,30 @@ def test_toxicity_variants(labelled):
     assert short > 0.5 and long > 0.5
 
 
+def test_toxicity_rare_marks():
+    """Insults twenty times rarer than the commonest, and stems that clean texts hold now and then."""
+    rng = random.Random(4)
+    plain = ["".join(rng.choice("abdefghilnorstu") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    common, rare, endings = ["idiot", "moron"], ["scumbag", "wretch"], ["ta", "ver", "lich", "zon", "keit", "pal", "unge", "mer"]
+
+    def text(kind):
+        words = [rng.choice(plain) for _ in range(rng.randrange(40, 120))]
+        stem = lambda: "krotz" + rng.choice(endings) + rng.choice(endings)
+        if kind == "stem":
+            words[::16] = [stem() for _ in words[::16]]
+        elif kind:
+            words.insert(rng.randrange(len(words)), rng.choice(common if kind == "common" else rare))
+        elif rng.random() < 0.05:
+            words.insert(5, stem())
+        return " ".join(words) + "."
+
+    kinds = ["common"] * 400 + ["rare"] * 20 + ["stem"] * 40 + [None] * 2500
+    model = toxicity.fit([text(k).encode() for k in kinds], [int(k is not None) for k in kinds])
+    held = {k: [text(k).encode() for _ in range(100)] for k in ("common", "rare", "stem", None)}
+    share = {k: float((model.score(np.frombuffer(b"".join(t), np.uint8), np.cumsum([0, *map(len, t)])) >= 0.5).mean()) for k, t in held.items()}
+    assert share["common"] > 0.9 and share["rare"] > 0.9 and share["stem"] > 0.9 and share[None] < 0.05, share
+
+
 def test_subsequence_kernel():
     """Against the definition: weights of common gapped subsequences, cosine."""
     from itertools import combinations
