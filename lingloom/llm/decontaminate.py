@@ -10,7 +10,8 @@ that is less, so re-parameterised copies count.
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK`` bytes of text, so what a task holds is
 bounded however large it is; documents are scanned whole, once per block, and never shuffled. Items with fewer than
-``LEAST`` tokens, or windows with fewer than half of their tokens literal, say too little and match nothing.
+``LEAST`` tokens say too little and match nothing. Windows with fewer than half of their tokens literal say too little
+through placeholders; they match verbatim only.
 
 Null text matches nothing; a null doc_id or item_id is kept as null; repeated rows give repeated results; empty tables
 give an empty result.
@@ -87,6 +88,16 @@ class Tokens:
             found.append((at, mix64(h[at] + U64(n))))
         return found
 
+    def exact(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the windows of ``n`` literal tokens that have too many slots for ``windows``."""
+        m = max(0, len(self.start) - n + 1)
+        count = np.concatenate([[0], np.cumsum((self.kind > 0) & (self.kind != NAME))])
+        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 :][:m]) & (2 * (count[n:] - count[: len(count) - n])[:m] > n)) if m else np.zeros(0, np.int64)
+        h = np.zeros(len(at), U64)
+        for k in range(n):
+            h = h * U64(0x9E3779B97F4A7C15) + self.literal[at + k]
+        return at, mix64(h + U64(n) + U64(1 << 32))
+
 
 @lru_cache(1)
 def _word_bytes() -> np.ndarray:
@@ -116,15 +127,19 @@ class Index:
         self.first = np.searchsorted(self.tokens.doc, np.arange(len(ids) + 1))
         self.size = np.diff(self.first)
         self.lengths = sorted({int(min(WINDOW, n)) for n in self.size if n >= LEAST})
-        self.tables = {}
+        self.tables, self.exact = {}, {}
         for n in self.lengths:
-            at, h = (np.concatenate(x) for x in zip(*self.tokens.windows(n), strict=True))
-            fits = np.minimum(self.size[self.tokens.doc[at]], WINDOW) == n
-            at, h = at[fits], h[fits]
-            order = np.argsort(h, kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(h & U64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables[n] = (h[order], at[order], bits)
+            self.tables[n] = self._table(n, *(np.concatenate(x) for x in zip(*self.tokens.windows(n), strict=True)))
+            self.exact[n] = self._table(n, *self.tokens.exact(n))
+
+    def _table(self, n: int, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, first tokens, bits of the hashes) of the windows of items whose windows have ``n`` tokens."""
+        fits = np.minimum(self.size[self.tokens.doc[at]], WINDOW) == n
+        at, h = at[fits], h[fits]
+        order = np.argsort(h, kind="stable")
+        bits = np.zeros(1 << 20, bool)
+        bits[(h & U64((1 << 20) - 1)).astype(np.int64)] = True
+        return h[order], at[order], bits
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """(document, item, matched tokens, whether a slot's value differs)."""
@@ -138,13 +153,34 @@ class Index:
                     token = int(begin[some[i]])
                     for j in at[low[i] : high[i]].tolist():
                         by[int(t.doc[token]), int(self.tokens.doc[j])].add((token - j, token, n))
+        literal = self._literal(t)
         found = []
-        for (doc, item), hits in sorted(by.items()):
-            matched, changed = self._verify(t, hits)
+        for doc, item in sorted({*by, *literal}):
+            matched, changed = self._verify(t, by.get((doc, item), set()))
+            matched |= literal.get((doc, item), set())
             if len(matched) >= min(ENOUGH, -(-int(self.size[item]) // 2)):
                 found.append((doc, item, len(matched), changed))
         return found
 
+    def _literal(self, t: Tokens) -> dict[tuple[int, int], set[int]]:
+        """Item tokens of verbatim windows by (document, item); a window that a document repeats is looked up once."""
+        by: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for n, (keys, at, bits) in self.exact.items():
+            if not len(keys):
+                continue
+            begin, h = t.exact(n)
+            some = np.flatnonzero(bits[(h & U64((1 << 20) - 1)).astype(np.int64)])
+            begin, h = begin[some], h[some]
+            _, first = np.unique(mix64(h + t.doc[begin].astype(U64)), return_index=True)
+            begin, h = begin[first], h[first]
+            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            for i in np.flatnonzero(high > low):
+                token = int(begin[i])
+                for j in at[low[i] : high[i]].tolist():
+                    if (self.tokens.literal[j : j + n] == t.literal[token : token + n]).all():
+                        by[int(t.doc[token]), int(self.tokens.doc[j])].update(range(j, j + n))
+        return by
+
     def _verify(self, t: Tokens, hits: set[tuple[int, int, int]]) -> tuple[set[int], bool]:
         """Item tokens of all alignments, longest first; literal tokens are compared again. Where the slots of an
         alignment are inconsistent, only its windows without any change count."""

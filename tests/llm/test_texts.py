@@ -96,6 +96,21 @@ def test_slots():
     assert found(item) and found(item.replace("5", "8")) and not found("the box has 3 red pens and then 6 blue pens too and 4 green pens inside it")
 
 
+def found(items, text):
+    raw = text.encode()
+    return [x[1] for x in decontaminate.Index(list(range(len(items))), items).find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))]
+
+
+def test_numbers_verbatim():
+    """Items of numbers are found as verbatim copies, and only so."""
+    table = "| 12 | 30 | 7 | 4 | 2 | 19 | 88 | 41 | 5 | 60 | 33 | 71 |"
+    items = ["Compute 12 + 30 - 7 * 4 / 2", table, "0 0 0 " * 400]
+    assert found(items, "First, compute 12 + 30 - 7 * 4 / 2 by hand.") == [0]
+    assert found(items, "See here: " + table.replace("|", ";") + " and so on.") == [1]
+    assert found(items, "Compute 13 + 30 - 7 * 4 / 2") == found(items, "| 1 | 2 | 3 | 4 | 5 | 6 | 7 | 8 | 9 | 10 | 11 | 12 |") == []
+    assert found(items, "x " + "0 " * 100_000) == [2]
+
+
 def test_decontaminate_empty(spark, corpus):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
