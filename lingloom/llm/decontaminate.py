@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts and benchmark items become tokens (runs of letters and digits, lower case). In a template, numbers and units
+Texts and benchmark items become tokens (runs of letters and digits, lower case; each character of Chinese, Japanese, Thai
+and other scripts without spaces is a token, and ``SCALE`` of them weigh as much as a word). In a template, numbers and units
 become typed placeholders and so do names (capitalised words inside a sentence); in a second form names stay words, for
 texts whose case was changed. Windows of ``WINDOW`` template tokens (whole items if shorter) are joined by hash.
 Matched windows line an item up with a document; the values that fill a placeholder must then be consistent: one
@@ -10,7 +11,7 @@ that is less, so re-parameterised copies count.
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK`` bytes of text, so what a task holds is
 bounded however large it is; documents are scanned whole, once per block, and never shuffled. Items with fewer than
-``LEAST`` tokens say too little and match nothing. Windows with fewer than half of their tokens literal say too little
+``LEAST`` tokens match by their whole literal sequence, those with fewer than ``SHORT`` say too little and match nothing. Windows with fewer than half of their tokens literal say too little
 through placeholders; they match verbatim only.
 
 Null text matches nothing; a null doc_id or item_id is kept as null; repeated rows give repeated results; empty tables
@@ -19,6 +20,7 @@ give an empty result.
 
 from __future__ import annotations
 
+import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache, reduce
@@ -31,6 +33,11 @@ from .frames import id_text, in_arrow
 from .textbuf import U64, Hashes, chunks, lower_table, mix64, spans
 
 WINDOW, LEAST, ENOUGH = 8, 5, 13
+#: Items of this many tokens up to LEAST match as a whole; fewer say nothing.
+SHORT = 3
+#: Classes of characters from U+0080 on: of a word, a border, a token of its own (by characters to a word).
+WORD, BORDER, HAN, THAI = range(4)
+SCALE = {HAN: 2, THAI: 4}
 BLOCK = 4 << 20
 NUMBER, UNIT, NAME = 1, 2, 3
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
@@ -49,9 +56,10 @@ class Tokens:
             low[second] += 32  # accented capitals
             capital[second - 1] = True
         capital |= (data >= 65) & (data <= 90)
-        word = _word_bytes()[data]
-        self.start, self.stop = spans(word, offsets)
+        word, single, cuts = _characters(data)
+        self.start, self.stop = spans(word, np.union1d(offsets, cuts) if len(cuts) else offsets)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
+        self.single = single[self.start]
         self.literal = mix64(Hashes(low).of(self.start, self.stop) + (self.stop - self.start).astype(U64))
         kind = np.zeros(len(self.start), np.uint8)
         if len(kind):
@@ -89,10 +97,10 @@ class Tokens:
         return found
 
     def exact(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of the windows of ``n`` literal tokens that have too many slots for ``windows``."""
+        """(first token, hash) of the windows of ``n`` literal tokens that have too many slots for ``windows``, or are short."""
         m = max(0, len(self.start) - n + 1)
         count = np.concatenate([[0], np.cumsum((self.kind > 0) & (self.kind != NAME))])
-        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 :][:m]) & (2 * (count[n:] - count[: len(count) - n])[:m] > n)) if m else np.zeros(0, np.int64)
+        at = np.flatnonzero((self.doc[:m] == self.doc[n - 1 :][:m]) & ((n < LEAST) | (2 * (count[n:] - count[: len(count) - n])[:m] > n))) if m else np.zeros(0, np.int64)
         h = np.zeros(len(at), U64)
         for k in range(n):
             h = h * U64(0x9E3779B97F4A7C15) + self.literal[at + k]
@@ -106,6 +114,40 @@ def _word_bytes() -> np.ndarray:
     return table
 
 
+@lru_cache(1)
+def _classes() -> np.ndarray:
+    """Classes of the code points below U+20000; the two planes above are ideographs."""
+    table = np.full(1 << 17, WORD, np.uint8)
+    for kind, ranges in ((HAN, "2E80-2FDF 3005-3007 3021-3029 3031-3035 3041-30FF 3100-312F 31A0-31FF 3400-4DBF 4E00-9FFF F900-FAFF FF66-FF9D 1B000-1B16F"),
+                         (THAI, "0E00-0EFF 1000-109F 1780-17FF 1950-19DF 1B00-1B7F A980-A9FF AA60-AA7F")):
+        for a, b in (r.split("-") for r in ranges.split()):
+            table[int(a, 16) : int(b, 16) + 1] = kind
+    for c in range(128, len(table)):
+        if unicodedata.category(chr(c))[0] in "PSZ" or c < 160 or c in (0x200B, 0x2060, 0xFEFF):
+            table[c] = BORDER
+    return table
+
+
+def _characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of words, class of the characters that begin at a byte, borders of the characters that are tokens)."""
+    word, single = _word_bytes()[data], np.zeros(len(data), np.uint8)
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return word, single, lead
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07))
+    for k in (1, 2, 3):
+        more = size > k
+        point[more] = point[more] << 6 | data[np.minimum(lead[more] + k, len(data) - 1)] & 0x3F
+    kind = np.where(point < 1 << 17, _classes()[np.minimum(point, (1 << 17) - 1)], np.where(point < 1 << 18, HAN, WORD))
+    for k in range(4):
+        word[np.minimum(lead[(kind == BORDER) & (size > k)] + k, len(data) - 1)] = False
+    own = kind >= HAN
+    single[lead[own]] = kind[own]
+    return word, single, np.union1d(lead[own], np.minimum(lead[own] + size[own], len(data)))
+
+
 @lru_cache(1)
 def _lexicon() -> tuple[np.ndarray, np.ndarray]:
     def hashes(words: list[str]) -> np.ndarray:
@@ -126,15 +168,22 @@ class Index:
         self.ids, self.tokens = ids, Tokens(data, offsets)
         self.first = np.searchsorted(self.tokens.doc, np.arange(len(ids) + 1))
         self.size = np.diff(self.first)
-        self.lengths = sorted({int(min(WINDOW, n)) for n in self.size if n >= LEAST})
+        # An item of unspaced characters needs as much text as one of words.
+        self.scale = np.ones(len(ids), np.int64)
+        counts = {k: np.bincount(self.tokens.doc[self.tokens.single == k], minlength=len(ids)) for k in SCALE}
+        for k, scale in SCALE.items():
+            self.scale[(2 * sum(counts.values()) > self.size) & (counts[k] >= np.maximum(*counts.values()))] = scale
+        self.window = np.minimum(self.size, WINDOW * self.scale)
+        self.lengths = sorted({int(n) for n in self.window if n >= SHORT})
         self.tables, self.exact = {}, {}
         for n in self.lengths:
-            self.tables[n] = self._table(n, *(np.concatenate(x) for x in zip(*self.tokens.windows(n), strict=True)))
+            if n >= LEAST:
+                self.tables[n] = self._table(n, *(np.concatenate(x) for x in zip(*self.tokens.windows(n), strict=True)))
             self.exact[n] = self._table(n, *self.tokens.exact(n))
 
     def _table(self, n: int, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first tokens, bits of the hashes) of the windows of items whose windows have ``n`` tokens."""
-        fits = np.minimum(self.size[self.tokens.doc[at]], WINDOW) == n
+        fits = self.window[self.tokens.doc[at]] == n
         at, h = at[fits], h[fits]
         order = np.argsort(h, kind="stable")
         bits = np.zeros(1 << 20, bool)
@@ -158,7 +207,7 @@ class Index:
         for doc, item in sorted({*by, *literal}):
             matched, changed = self._verify(t, by.get((doc, item), set()))
             matched |= literal.get((doc, item), set())
-            if len(matched) >= min(ENOUGH, -(-int(self.size[item]) // 2)):
+            if len(matched) >= min(ENOUGH * int(self.scale[item]), -(-int(self.size[item]) // 2)):
                 found.append((doc, item, len(matched), changed))
         return found
 

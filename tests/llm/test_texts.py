@@ -111,6 +111,19 @@ def test_numbers_verbatim():
     assert found(items, "x " + "0 " * 100_000) == [2]
 
 
+def test_unspaced_and_short():
+    """Scripts without spaces and items of few words are found inside running text."""
+    items = ["小明有十二个苹果，他又买了三个，请问一共有多少个？", "東京の人口は何人ですか", "เมืองหลวงของประเทศไทยคืออะไร", "Name seven metals", "什么是重力", "“Quoted” words—with marks… of “many” kinds"]
+    for k, item in enumerate(items):
+        assert found(items, item) == [k]
+    assert found(items, "前面的文字" + items[0] + "后面的文字") == [0]
+    assert found(items, "答えてください、" + items[1] + "。それから") == [1]
+    assert found(items, "คำถาม" + items[2] + "ตอบ") == [2]
+    assert found(items, "Now, name SEVEN metals, please.") == [3] and found(items, "问：什么是重力？") == [4]
+    assert found(items, "so Quoted words – with marks, of many kinds") == [5]
+    assert found(items, "ประเทศไทย และ 苹果 人口 seven metals 重力") == []
+
+
 def test_decontaminate_empty(spark, corpus):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
