@@ -3,7 +3,8 @@
 Lower-case characters in grams of one to three, other characters than letters folded to one space, are hashed into
 ``DIM`` dimensions. The model is trained by follow-the-regularised-leader with elastic-net penalties, which leaves
 most weights at zero, and then calibrated by a temperature on a part of the sample that took no part in training.
-At most ``limit`` labelled documents outside the held-out fold are used to fit; every whole text is predicted.
+To fit, at most ``limit`` labelled documents outside the held-out fold are used, shared out over the labels so that a rare
+language keeps as many as ``limit`` allows each; document frequencies are of all of them. Every whole text is predicted.
 
 Null text and text without a letter: ``und`` with score 0, as is everything when there are no labelled documents.
 Repeated rows are all predicted; a null doc_id counts in the fold of the empty text; an empty table gives an empty result.
@@ -16,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .frames import fold, id_text, in_arrow
@@ -119,21 +120,27 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], n_classes: int, epochs:
     return weights(np.arange(DIM + 1))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
-    """From (gram indices, counts, language) of the sample; None without any."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], df: np.ndarray | None = None, total: int = 0) -> Model | None:
+    """From (gram indices, counts, language) of the sample, and the grams' frequencies in ``total`` documents, by default
+    the sample; None without any."""
     languages = sorted({y for _, _, y in rows})
     if not languages:
         return None
-    df = np.zeros(DIM)
-    for index, _, _ in rows:
-        df[index] += 1
-    idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    if df is None:
+        df, total = np.zeros(DIM), len(rows)
+        for index, _, _ in rows:
+            df[index] += 1
+    idf = np.log((1 + total) / (1 + df)) + 1
     scaled = []
     for index, count, y in rows:
         v = count * idf[index]
         scaled.append((np.append(index, DIM), np.append(v / max(np.sqrt((v * v).sum()), 1e-9), 1.0), languages.index(y)))
-    tune = [r for i, r in enumerate(scaled) if i % 5 == 0]
-    rest = [r for i, r in enumerate(scaled) if i % 5] or scaled
+    seen = [0] * len(languages)
+    tune, rest = [], []
+    for row in scaled:  # every fifth of a language, so that even one with a single document is trained
+        seen[row[2]] += 1
+        (rest if seen[row[2]] % 5 else tune).append(row)
+    tune = tune or rest
     w = ftrl(rest, len(languages))
     logits, y = np.array([v @ w[i] for i, v, _ in tune]), np.array([c for _, _, c in tune])
     loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y].clip(1e-12)).mean() + 1e-4 * np.log(t) ** 2
@@ -141,14 +148,31 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, str]]) -> Model | None:
     return Model(languages, idf, w[:DIM], w[DIM], float(temperature))
 
 
+def shares(sizes: dict[str, int], limit: int) -> dict[str, int]:
+    """Rows of each label, ``limit`` together: small labels whole, the rest alike; at least one of each."""
+    out, left = {}, limit
+    for k, (label, size) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        out[label] = min(size, max(1, left // (len(sizes) - k)))
+        left -= out[label]
+    return out
+
+
 def train(docs: DataFrame, limit: int = LIMIT) -> Model | None:
-    """Fitted on the ``limit`` documents with the smallest id hashes that have a label and are not held out."""
-    known = docs.where((fold(of=4) != 2) & F.col("lang").isNotNull())
-    size = known.count()
-    if not size:
+    """Fitted on at most ``limit`` documents that have a label and are not held out, of each label those with the smallest id hashes.
+
+    Labels are counted over all rows; only a text without a letter is no document of its label.
+    """
+    letters = F.coalesce(F.col("text").cast("string"), F.lit("")).rlike("\\p{L}")
+    known = docs.where((fold(of=4) != 2) & F.col("lang").isNotNull() & letters)
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
         return None
-    share = min(1.0, 1.25 * limit / size + 100 / size)
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    wanted = shares(sizes, limit)
+    hashed = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    # A little more than each label's rows, by the hash; labels differ in size, so each has its own bound.
+    bound = {label: int(min(1.0, (1.25 * n + 20) / sizes[label]) * (1 << 30)) for label, n in wanted.items()}
+    bounds = docs.sparkSession.createDataFrame(list(bound.items()), "lang_ string, bound_ long")
+    sample = known.select("doc_id", "text", "lang").join(F.broadcast(bounds), F.col("lang") == F.col("lang_")).where(hashed < F.col("bound_"))
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batch):
@@ -164,9 +188,34 @@ def train(docs: DataFrame, limit: int = LIMIT) -> Model | None:
             yield made.filter(pa.array(keep))
 
     grams = in_arrow(id_text(sample, "lang"), rows, "doc_id long, lang string, i array<int>, n array<int>")
-    # The sample holds little more than ``limit`` rows, so the order is made of few.
-    got = grams.orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(limit).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return fit([(np.array(i), np.array(n, float), y) for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["lang"].to_pylist(), strict=True)])
+    of_label = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    amounts = docs.sparkSession.createDataFrame(list(wanted.items()), "lang_ string, wanted_ int")
+    # The sample holds little more than ``limit`` rows, so the ranks are of few.
+    ranked = grams.withColumn("rank_", F.row_number().over(of_label)).join(F.broadcast(amounts), F.col("lang") == F.col("lang_"))
+    got = ranked.where(F.col("rank_") <= F.col("wanted_")).select("doc_id", "lang", "i", "n").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    return fit([(np.array(i), np.array(n, float), y) for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["lang"].to_pylist(), strict=True)], *frequencies(known))
+
+
+def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:
+    """Documents that hold each gram, and all documents; summed by task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, total = np.zeros(DIM, np.int64), 0
+        for batch in batches:
+            for _, data, offsets in chunks(batch):
+                for x, letters in counts(data, offsets):
+                    df += (x[letters > 0] > 0).sum(0)
+                    total += int((letters > 0).sum())
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *at], pa.int32()), pa.array([total, *df[at]], pa.int64())], ["gram", "n"])
+
+    df, total = np.zeros(DIM), 0
+    for row in id_text(known).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+        if row["gram"] < 0:
+            total = row["n"]
+        else:
+            df[row["gram"]] = row["n"]
+    return df, total
 
 
 def predict(docs: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -130,6 +130,18 @@ def test_language(spark, labelled):
     assert got[9000]["lang_pred"] == got[9001]["lang_pred"] == "und" and got[None]["lang_pred"] == "de"
 
 
+def test_rare_language(spark):
+    """A language with one document in five hundred is sampled, and its other documents get it."""
+    rng = random.Random(9)
+    sounds = {"en": ["the", "and", "ing", "wh"], "de": ["der", "sch", "ung", "ein"], "fi": ["kää", "yö", "suo", "nki"]}
+    text = lambda lang: " ".join("".join(rng.choice(sounds[lang]) for _ in range(2)) for _ in range(30))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["en"] * 2400 + ["de"] * 1600 + ["fi"] * 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, limit=60).collect()}
+    assert np.mean([got[i] == "fi" for i, _, lang in rows if lang == "fi"]) == 1 and np.mean([got[i] == lang for i, _, lang in rows]) > 0.98
+    assert language_id.shares({"a": 5000, "b": 3, "c": 900}, 2000) == {"b": 3, "c": 900, "a": 1097}
+
+
 def test_odd(spark, corpus, odd_rows, labelled):
     *_, labels = labelled
     docs = corpus(odd_rows)
