@@ -114,10 +114,11 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     start, stop = at[begin], at[end]
     single = (stop - start) == 1
     if single.any():  # runs of at least three single letters are one word
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-        first, last = edge[0::2], edge[1::2]
-        cut = np.concatenate([[0], np.cumsum(single[1:] & single[:-1] & (doc[1:] != doc[:-1]))]) if len(doc) else np.zeros(0, np.int64)
-        keep = (last - first >= 3) & (cut[first] == cut[last - 1])
+        # A run ends where the document does, so that a text's words don't depend on its neighbours.
+        opens = single & np.concatenate([[True], ~single[:-1] | (doc[1:] != doc[:-1])])
+        closes = single & np.concatenate([~single[1:] | (doc[1:] != doc[:-1]), [True]])
+        first, last = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+        keep = last - first >= 3
         drop = np.zeros(len(begin), bool)
         for a, b in zip(first[keep], last[keep], strict=True):
             stop[a] = stop[b - 1]

@@ -93,6 +93,16 @@ def test_toxicity_rare_marks():
     assert share["common"] > 0.9 and share["rare"] > 0.9 and share["stem"] > 0.9 and share[None] < 0.05, share
 
 
+def test_spelled_out_words():
+    """Single letters are joined within each document, whatever stands beside it in the chunk."""
+    parts = [b"you i d i o t", b"I see", b"i d i o t", b"m o r o n", b"a b"]
+    alone = [toxicity.find_words(np.frombuffer(p, np.uint8), np.array([0, len(p)])) for p in parts]
+    both = toxicity.find_words(np.frombuffer(b"".join(p + b" " for p in parts), np.uint8), np.cumsum([0, *(len(p) + 1 for p in parts)]))
+    words = lambda w, d: sorted(w.code[w.start[i] : w.stop[i]].tobytes() for i, doc in zip(w.which, w.doc, strict=True) if doc == d)
+    assert [words(both, d) for d in range(len(parts))] == [words(w, 0) for w in alone]
+    assert len(words(both, 0)) == 2 and len(words(both, 2)) == len(words(both, 3)) == 1
+
+
 def test_subsequence_kernel():
     """Against the definition: weights of common gapped subsequences, cosine."""
     from itertools import combinations
