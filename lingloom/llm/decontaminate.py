@@ -5,8 +5,8 @@ and other scripts without spaces is a token, and ``SCALE`` of them weigh as much
 become typed placeholders and so do names (capitalised words inside a sentence); in a second form names stay words, for
 texts whose case was changed. Windows of ``WINDOW`` template tokens (whole items if shorter) are joined by hash.
 Matched windows line an item up with a document; the values that fill a placeholder must then be consistent: one
-value of the item always stands for the same value of the document, and different values for different ones; else only
-windows without any change count. An item is found if its matched tokens number ``ENOUGH``, or half of the item if
+value of the item always stands for the same value of the document (different ones may meet in one, as small numbers do);
+else only windows without any change count. An item is found if its matched tokens number ``ENOUGH``, or half of the item if
 that is less, so re-parameterised copies count.
 
 The benchmark is the query set. It is read in blocks of at most ``BLOCK`` bytes of text, so what a task holds is
@@ -248,15 +248,14 @@ class Index:
         return matched, changed
 
     def _consistent(self, t: Tokens, shift: int, tokens: list[int]) -> tuple[bool, bool]:
-        """(whether values map one to one and literals agree, whether any value differs)."""
+        """(whether each value of the item has one value and literals agree, whether any value differs)."""
         to: dict[tuple[int, int], int] = {}
-        back: dict[tuple[int, int], int] = {}
         differs = False
         for b in tokens:
             x, y, kind = int(self.tokens.literal[b - shift]), int(t.literal[b]), int(self.tokens.kind[b - shift])
             if kind != int(t.kind[b]) and x != y or not kind and x != y:
                 return False, False
-            if kind and (to.setdefault((kind, x), y) != y or back.setdefault((kind, y), x) != x):
+            if kind and to.setdefault((kind, x), y) != y:
                 return False, False
             differs |= x != y
         return True, differs
