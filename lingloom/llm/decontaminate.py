@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .frames import id_text, in_arrow
-from .textbuf import U64, Hashes, chunks, lower_table, mix64, spans
+from .textbuf import U64, chunks, lower_table, mix64, span_hashes, spans
 
 WINDOW, LEAST, ENOUGH = 8, 5, 13
 #: Items of this many tokens up to LEAST match as a whole; fewer say nothing.
@@ -60,7 +60,7 @@ class Tokens:
         self.start, self.stop = spans(word, np.union1d(offsets, cuts) if len(cuts) else offsets)
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.single = single[self.start]
-        self.literal = mix64(Hashes(low).of(self.start, self.stop) + (self.stop - self.start).astype(U64))
+        self.literal = span_hashes(low, self.start, self.stop)
         kind = np.zeros(len(self.start), np.uint8)
         if len(kind):
             # A sentence's first word is capitalised anyway: after a full stop, a line's end or a document's start.
@@ -154,7 +154,7 @@ def _lexicon() -> tuple[np.ndarray, np.ndarray]:
         raw = [w.encode() for w in words]
         ends = np.cumsum([len(r) for r in raw])
         starts = ends - [len(r) for r in raw]
-        return mix64(Hashes(np.frombuffer(b"".join(raw), np.uint8)).of(starts, ends) + (ends - starts).astype(U64))
+        return span_hashes(np.frombuffer(b"".join(raw), np.uint8), starts, ends)
 
     return hashes(NUMBERS), hashes(UNITS)
 

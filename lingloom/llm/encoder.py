@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textbuf import SPACE, U64, Hashes, byte_set, lower_table, mix64, spans
+from .textbuf import SPACE, U64, byte_set, lower_table, span_hashes, spans
 
 #: Units kept between chunks; beyond that many the cache starts anew.
 CACHE_UNITS = 1_000_000
@@ -85,7 +85,7 @@ class Encoder:
         """(ids of all documents, their counts); without ``ids``, the first is empty."""
         folded = lower_table()[data]
         starts, stops = self._units(folded, offsets)
-        hashes = mix64(Hashes(folded).of(starts, stops) + (stops - starts).astype(U64))
+        hashes = span_hashes(folded, starts, stops)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_UNITS:
             self._reset()

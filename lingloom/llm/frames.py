@@ -18,6 +18,14 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *[F.col(c) for c in more])
 
 
+def private(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``columns`` has, in whatever case."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def fold(doc_id: str | Column = "doc_id", of: int = 5) -> Column:
     """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
     text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
@@ -42,7 +50,8 @@ def in_arrow(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.Rec
 def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, of: int = 5) -> DataFrame:
     """(doc_id, text, y) of at most ``limit`` labelled documents outside the held-out fold, smallest id hashes first.
 
-    The sample of labels is bounded by ``limit``, so it may be broadcast; texts stay on the executors.
+    The sample of labels is bounded by ``limit``, so it may be broadcast; texts stay on the executors. Of several rows with
+    one doc_id the text with the smallest hash counts, so rows are bounded as well.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -50,4 +59,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, of: int
         .groupBy("doc_id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
-    return id_text(docs).join(F.broadcast(known), "doc_id")
+    found = id_text(docs).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "y")

@@ -102,7 +102,7 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     totals = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = totals.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
+    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = bucketed.withColumn("rank", F.row_number().over(own)).join(before, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") - 1 + F.col("before")).alias("rank"))
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -6,6 +6,7 @@ document is a chunk of its own), so memory follows the longest document, not the
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,6 +15,9 @@ import pyarrow as pa
 
 CHUNK = 2 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Polynomials modulo 2**64 have strings that collide for every base, from some hundred letters on; longer spans are
+#: digested instead.
+PLAIN_LENGTH = 64
 U64 = np.uint64
 
 
@@ -69,6 +73,14 @@ class Hashes:
         return (self.prefix[stop] - self.prefix[start]) * self.up[start]
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans that stand for their bytes, whatever the spans hold."""
+    out = mix64(Hashes(data).of(start, stop) + (stop - start).astype(U64))
+    for i in np.flatnonzero(stop - start > PLAIN_LENGTH):
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def spans(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and stops of the maximal runs of ``mask``, none of which crosses a document's end."""
     if not len(mask):

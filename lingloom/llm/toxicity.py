@@ -11,7 +11,7 @@ count by their number: a passage has the evidence of a Poisson likelihood ratio
 logistic of its worst sentence or passage, one half at the border that FALSE_RATE of the clean training documents exceed.
 
 Only the training sample is bounded: ``limit`` labelled documents outside the held-out fold, ``SENTENCES``
-sentences each, chosen by hash (a longer sentence counts as several of ``SENTENCE_BYTES``).
+sentences each, chosen by hash (a longer sentence counts as several of ``SENTENCE_BYTES``), ``TEXT_BYTES`` together.
 Every whole text is scored; words longer than ``LONG`` letters are read in overlapping windows.
 
 Null text is the empty text and scores as one without a marked word. Without labelled documents of both classes the
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .frames import fold, id_text, in_arrow, labelled
 from .textbuf import U64, Hashes, byte_set, chunks, lower_table, mix64, words
 
-LIMIT, SENTENCES, SENTENCE_BYTES = 4_000, 64, 2_000
+LIMIT, SENTENCES, SENTENCE_BYTES, TEXT_BYTES = 4_000, 64, 2_000, 32_000
 DECAY, SPAN, FLOOR = 0.7, 6, 0.35
 LONG, WINDOW = 24, 16
 MARKED, NEAR, FORM = 128, 16, 5
@@ -576,7 +576,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
             if len(parts) > SENTENCES:
                 keep = sorted(range(len(parts)), key=lambda i: (zlib.crc32(parts[i]), i))[:SENTENCES]
                 parts = [parts[i] for i in sorted(keep)]
-            texts.append(b"".join(parts))
+            texts.append(b"".join(parts)[:TEXT_BYTES])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.binary())], ["doc_id", "y", "text"])
 
     got = in_arrow(labelled(docs, labels, label, limit), rows, "doc_id long, y int, text binary").toArrow().sort_by("doc_id")
