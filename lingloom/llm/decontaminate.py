@@ -9,10 +9,14 @@ value of the item always stands for the same value of the document (different on
 else only windows without any change count. An item is found if its matched tokens number ``ENOUGH``, or half of the item if
 that is less, so re-parameterised copies count.
 
-The benchmark is the query set. It is read in blocks of at most ``BLOCK`` bytes of text, so what a task holds is
-bounded however large it is; documents are scanned whole, once per block, and never shuffled. Items with fewer than
-``LEAST`` tokens match by their whole literal sequence, those with fewer than ``SHORT`` say too little and match nothing. Windows with fewer than half of their tokens literal say too little
-through placeholders; they match verbatim only.
+Documents are scanned once. A bit for each window hash of the benchmark, in ``BLOCK`` bytes at most, tells which of a
+document's windows can match at all; these go to the join with their tokens, dealt over SALTS parts, so that a window that
+very many documents share has no task of its own. False positives of the bits find no partner there. What a (document,
+item) pair has in common is then verified. Neither the benchmark nor documents are ever gathered in one place.
+
+Items with fewer than ``LEAST`` tokens match by their whole literal sequence, those with fewer than ``SHORT`` say too little
+and match nothing. Windows with fewer than half of their tokens literal say too little through placeholders; they match
+verbatim only.
 
 Null text matches nothing; a null doc_id or item_id is kept as null; repeated rows give repeated results; empty tables
 give an empty result.
@@ -23,13 +27,16 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .frames import id_text, in_arrow
+from .frames import id_text, in_arrow, private
+from .store import written
 from .textbuf import U64, chunks, lower_table, mix64, span_hashes, spans
 
 WINDOW, LEAST, ENOUGH = 8, 5, 13
@@ -38,7 +45,9 @@ SHORT = 3
 #: Classes of characters from U+0080 on: of a word, a border, a token of its own (by characters to a word).
 WORD, BORDER, HAN, THAI = range(4)
 SCALE = {HAN: 2, THAI: 4}
-BLOCK = 4 << 20
+#: Bytes of the bits that tell which windows the benchmark has, at most; parts of a window's join.
+BLOCK, SALTS = 16 << 20, 8
+TEMPLATE, EXACT = 0, 1
 NUMBER, UNIT, NAME = 1, 2, 3
 NUMBERS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty hundred thousand million".split()
 UNITS = "mm cm m km g kg mg lb lbs oz l ml s sec secs second seconds min mins minute minutes h hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres mile miles inch inches foot feet yard yards gram grams kilogram kilograms pound pounds dollar dollars cent cents euro euros percent degrees".split()
@@ -159,154 +168,254 @@ def _lexicon() -> tuple[np.ndarray, np.ndarray]:
     return hashes(NUMBERS), hashes(UNITS)
 
 
-class Index:
-    """Template windows of a block of items."""
+@dataclass
+class Windows:
+    """Windows of ``n`` tokens from ``at`` on, joined by hash; the hash holds n and the kind."""
 
-    def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
-        raw = [(t or "").encode() for t in texts]
-        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
-        self.ids, self.tokens = ids, Tokens(data, offsets)
-        self.first = np.searchsorted(self.tokens.doc, np.arange(len(ids) + 1))
+    kind: int
+    n: int
+    at: np.ndarray
+    hash: np.ndarray
+
+    def take(self, some: np.ndarray) -> Windows:
+        return Windows(self.kind, self.n, self.at[some], self.hash[some])
+
+
+def found_windows(t: Tokens, lengths: list[tuple[int, int]]) -> Iterator[Windows]:
+    """The windows of each (kind, length), each place and hash once."""
+    for kind, n in lengths:
+        at, h = t.exact(n) if kind == EXACT else (np.concatenate(x) for x in zip(*(t.windows(n) or [(np.zeros(0, np.int64), np.zeros(0, U64))]), strict=True))
+        order = np.lexsort((h, at))
+        at, h = at[order], h[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
+        yield Windows(kind, n, at[new], h[new])
+
+
+class Items:
+    """The windows of some items, by the length that suits each."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray) -> None:
+        self.tokens = t = Tokens(data, offsets)
+        many = len(offsets) - 1
+        self.first = np.searchsorted(t.doc, np.arange(many + 1))
         self.size = np.diff(self.first)
         # An item of unspaced characters needs as much text as one of words.
-        self.scale = np.ones(len(ids), np.int64)
-        counts = {k: np.bincount(self.tokens.doc[self.tokens.single == k], minlength=len(ids)) for k in SCALE}
+        self.scale = np.ones(many, np.int64)
+        counts = {k: np.bincount(t.doc[t.single == k], minlength=many) for k in SCALE}
         for k, scale in SCALE.items():
             self.scale[(2 * sum(counts.values()) > self.size) & (counts[k] >= np.maximum(*counts.values()))] = scale
-        self.window = np.minimum(self.size, WINDOW * self.scale)
-        self.lengths = sorted({int(n) for n in self.window if n >= SHORT})
-        self.tables, self.exact = {}, {}
-        for n in self.lengths:
-            if n >= LEAST:
-                self.tables[n] = self._table(n, *(np.concatenate(x) for x in zip(*self.tokens.windows(n), strict=True)))
-            self.exact[n] = self._table(n, *self.tokens.exact(n))
-
-    def _table(self, n: int, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(hashes, first tokens, bits of the hashes) of the windows of items whose windows have ``n`` tokens."""
-        fits = self.window[self.tokens.doc[at]] == n
-        at, h = at[fits], h[fits]
-        order = np.argsort(h, kind="stable")
-        bits = np.zeros(1 << 20, bool)
-        bits[(h & U64((1 << 20) - 1)).astype(np.int64)] = True
-        return h[order], at[order], bits
+        window = np.minimum(self.size, WINDOW * self.scale)
+        lengths = sorted({int(n) for n in window if n >= SHORT})
+        self.windows = []
+        for w in found_windows(t, [(k, n) for n in lengths for k in (TEMPLATE, EXACT) if k == EXACT or n >= LEAST]):
+            self.windows.append(w.take(window[t.doc[w.at]] == w.n))
+
+    def enough(self, item: int) -> int:
+        """Tokens that have to match."""
+        return min(ENOUGH * int(self.scale[item]), -(-int(self.size[item]) // 2))
+
+
+def once_each(w: Windows, t: Tokens) -> Windows:
+    """Of verbatim windows that a document repeats the first; templates stay, as they tell alignments."""
+    if w.kind == TEMPLATE:
+        return w
+    _, first = np.unique(mix64(w.hash + t.doc[w.at].astype(U64)), return_index=True)
+    return w.take(np.sort(first))
+
+
+@dataclass
+class Hit:
+    """A window that a document (tokens from ``token``) and an item (from ``place``) share, with the tokens of both."""
+
+    kind: int
+    token: int
+    place: int
+    theirs: np.ndarray  # literal hashes
+    their_kinds: np.ndarray
+    own: np.ndarray
+    own_kinds: np.ndarray
+
+
+def verify(hits: list[Hit]) -> tuple[set[int], bool]:
+    """Item tokens that match, and whether a slot's value differs: of verbatim windows, and of all alignments, longest
+    first. Literal tokens are compared again. Where the slots of an alignment are inconsistent, only its windows without
+    any change count."""
+    shifts: dict[int, list[Hit]] = defaultdict(list)
+    matched: set[int] = set()
+    changed = False
+    for hit in hits:
+        if hit.kind == TEMPLATE:
+            shifts[hit.token - hit.place].append(hit)
+        elif (hit.own == hit.theirs).all():
+            matched.update(range(hit.place, hit.place + len(hit.own)))
+    for _, windows in sorted(shifts.items(), key=lambda x: (-len(x[1]), x[0])):
+        tokens: dict[int, tuple[int, int, int, int]] = {}
+        for hit in windows:
+            for k, values in enumerate(zip(hit.own.tolist(), hit.theirs.tolist(), hit.own_kinds.tolist(), hit.their_kinds.tolist(), strict=True)):
+                tokens[hit.place + k] = values
+        consistent, differs = _consistent([tokens[k] for k in sorted(tokens)])
+        changed |= consistent and differs
+        matched |= set(tokens) if consistent else {hit.place + k for hit in windows if (hit.own == hit.theirs).all() for k in range(len(hit.own))}
+    return matched, changed
+
+
+def _consistent(tokens: list[tuple[int, int, int, int]]) -> tuple[bool, bool]:
+    """(whether each value of the item has one value and literals agree, whether any value differs)."""
+    to: dict[tuple[int, int], int] = {}
+    differs = False
+    for x, y, kind, other in tokens:
+        if kind != other and x != y or not kind and x != y:
+            return False, False
+        if kind and to.setdefault((kind, x), y) != y:
+            return False, False
+        differs |= x != y
+    return True, differs
+
+
+class Index:
+    """Items in memory, to look a few texts up without Spark: the same windows, joined by search in sorted hashes."""
+
+    def __init__(self, ids: list[int | None], texts: list[str | None]) -> None:
+        raw = [(t or "").encode() for t in texts]
+        self.ids, self.items = ids, Items(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        self.windows = [w.take(np.argsort(w.hash, kind="stable")) for w in self.items.windows]
 
     def find(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int, bool]]:
         """(document, item, matched tokens, whether a slot's value differs)."""
-        t = Tokens(data, offsets)
-        by: dict[tuple[int, int], set[tuple[int, int, int]]] = defaultdict(set)
-        for n, (keys, at, bits) in self.tables.items():
-            for begin, h in t.windows(n):
-                some = np.flatnonzero(bits[(h & U64((1 << 20) - 1)).astype(np.int64)])
-                low, high = np.searchsorted(keys, h[some], "left"), np.searchsorted(keys, h[some], "right")
-                for i in np.flatnonzero(high > low):
-                    token = int(begin[some[i]])
-                    for j in at[low[i] : high[i]].tolist():
-                        by[int(t.doc[token]), int(self.tokens.doc[j])].add((token - j, token, n))
-        literal = self._literal(t)
+        t, own = Tokens(data, offsets), self.items.tokens
+        by: dict[tuple[int, int], list[Hit]] = defaultdict(list)
+        for keys, w in zip(self.windows, found_windows(t, [(w.kind, w.n) for w in self.windows]), strict=True):
+            w = once_each(w.take(np.isin(w.hash, keys.hash)), t)
+            low, high = np.searchsorted(keys.hash, w.hash, "left"), np.searchsorted(keys.hash, w.hash, "right")
+            for token, a, b in zip(w.at.tolist(), low.tolist(), high.tolist(), strict=True):
+                for j in keys.at[a:b].tolist():
+                    item = int(own.doc[j])
+                    x, y = slice(token, token + w.n), slice(j, j + w.n)
+                    by[int(t.doc[token]), item].append(Hit(w.kind, token, j - int(self.items.first[item]), t.literal[x], t.kind[x], own.literal[y], own.kind[y]))
         found = []
-        for doc, item in sorted({*by, *literal}):
-            matched, changed = self._verify(t, by.get((doc, item), set()))
-            matched |= literal.get((doc, item), set())
-            if len(matched) >= min(ENOUGH * int(self.scale[item]), -(-int(self.size[item]) // 2)):
+        for (doc, item), hits in sorted(by.items()):
+            matched, changed = verify(hits)
+            if matched and len(matched) >= self.items.enough(item):
                 found.append((doc, item, len(matched), changed))
         return found
 
-    def _literal(self, t: Tokens) -> dict[tuple[int, int], set[int]]:
-        """Item tokens of verbatim windows by (document, item); a window that a document repeats is looked up once."""
-        by: dict[tuple[int, int], set[int]] = defaultdict(set)
-        for n, (keys, at, bits) in self.exact.items():
-            if not len(keys):
-                continue
-            begin, h = t.exact(n)
-            some = np.flatnonzero(bits[(h & U64((1 << 20) - 1)).astype(np.int64)])
-            begin, h = begin[some], h[some]
-            _, first = np.unique(mix64(h + t.doc[begin].astype(U64)), return_index=True)
-            begin, h = begin[first], h[first]
-            low, high = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
-            for i in np.flatnonzero(high > low):
-                token = int(begin[i])
-                for j in at[low[i] : high[i]].tolist():
-                    if (self.tokens.literal[j : j + n] == t.literal[token : token + n]).all():
-                        by[int(t.doc[token]), int(self.tokens.doc[j])].update(range(j, j + n))
-        return by
-
-    def _verify(self, t: Tokens, hits: set[tuple[int, int, int]]) -> tuple[set[int], bool]:
-        """Item tokens of all alignments, longest first; literal tokens are compared again. Where the slots of an
-        alignment are inconsistent, only its windows without any change count."""
-        shifts: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for shift, token, n in hits:
-            shifts[shift].append((token, n))
-        matched, changed = set(), False
-        for shift, windows in sorted(shifts.items(), key=lambda x: (-len(x[1]), x[0])):
-            tokens = sorted({token + k for token, n in windows for k in range(n)})
-            same = {b: int(self.tokens.literal[b - shift]) == int(t.literal[b]) for b in tokens}
-            ok, differs = self._consistent(t, shift, tokens)
-            if not ok:
-                tokens = [token + k for token, n in windows if all(same[token + k] for k in range(n)) for k in range(n)]
-            matched |= {b - shift for b in tokens}
-            changed |= ok and differs
-        return matched, changed
-
-    def _consistent(self, t: Tokens, shift: int, tokens: list[int]) -> tuple[bool, bool]:
-        """(whether each value of the item has one value and literals agree, whether any value differs)."""
-        to: dict[tuple[int, int], int] = {}
-        differs = False
-        for b in tokens:
-            x, y, kind = int(self.tokens.literal[b - shift]), int(t.literal[b]), int(self.tokens.kind[b - shift])
-            if kind != int(t.kind[b]) and x != y or not kind and x != y:
-                return False, False
-            if kind and to.setdefault((kind, x), y) != y:
-                return False, False
-            differs |= x != y
-        return True, differs
-
-
-def blocks(benchmark: DataFrame, limit: int = BLOCK) -> Iterator[Index]:
-    """Indexes of the benchmark, ``limit`` bytes of text each, one at a time."""
-    ids: list[int | None] = []
-    texts: list[str | None] = []
-    size = 0
-    for row in benchmark.selectExpr("CAST(item_id AS LONG) AS item_id", "CAST(text AS STRING) AS text").toLocalIterator():
-        ids.append(row["item_id"])
-        texts.append(row["text"])
-        size += len((row["text"] or "").encode())
-        if size >= limit:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Index(ids, texts)
 
+def _blobs(values: np.ndarray) -> pa.Array:
+    """A binary value for each row of a matrix."""
+    raw = np.ascontiguousarray(values)
+    ends = np.arange(len(raw) + 1, dtype=np.int32) * (raw.shape[1] * raw.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(raw.tobytes())])
 
-def matches(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK) -> DataFrame:
-    """One row per (document, item) found; ``contaminated`` is always true."""
 
-    def scan(index: Index) -> DataFrame:
-        def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for part, data, offsets in chunks(batch):
-                found = index.find(data, offsets)
-                columns = [[x[k] for x in found] for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(columns[0], pa.int64())), pa.array([index.ids[i] for i in columns[1]], pa.int64()), pa.array(columns[2], pa.int32()),
-                     pa.array([int(index.size[i]) for i in columns[1]], pa.int32()), pa.array(columns[3], pa.bool_()), pa.array([True] * len(found), pa.bool_())],
-                    ["doc_id", "item_id", "matched_tokens", "item_tokens", "reparameterised", "contaminated"])
+def _columns(w: Windows, t: Tokens) -> dict[str, pa.Array]:
+    """Windows as columns: hash, kind, length, literals and kinds of their tokens."""
+    at = w.at[:, None] + np.arange(w.n)
+    return {"h": pa.array(w.hash.view(np.int64)), "kind": pa.array(np.full(len(w.at), w.kind, np.int32)), "n": pa.array(np.full(len(w.at), w.n, np.int32)), "literals": _blobs(t.literal[at]), "kinds": _blobs(t.kind[at])}
 
-        return in_arrow(id_text(docs), rows, SCHEMA)
 
-    parts = [scan(index) for index in blocks(benchmark, limit)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], SCHEMA)
+WINDOWS = "h long, kind int, n int, literals binary, kinds binary"
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK) -> DataFrame:
-    """The rows of ``docs``, unchanged, in which no item is found: a filter for each block, no join, no shuffle."""
+def _benchmark(benchmark: DataFrame) -> DataFrame:
+    """The windows of all items: (item, item_id, size, enough, place) and the window. An item is a row of the benchmark."""
+    numbered = benchmark.selectExpr("monotonically_increasing_id() AS item", "CAST(item_id AS LONG) AS item_id", "CAST(text AS STRING) AS text")
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in chunks(batch):
+            items = Items(data, offsets)
+            enough = np.array([items.enough(i) for i in range(part.num_rows)], np.int32)
+            for w in items.windows:
+                item = items.tokens.doc[w.at]
+                columns = {c: part.column(c).take(pa.array(item)) for c in ("item", "item_id")} | {"size": pa.array(items.size[item].astype(np.int32)), "enough": pa.array(enough[item]), "place": pa.array((w.at - items.first[item]).astype(np.int32))}
+                yield pa.RecordBatch.from_pydict(columns | _columns(w, items.tokens))
 
-    def keep(frame: DataFrame, index: Index) -> DataFrame:
-        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, offsets in chunks(batch):
-                    clean = np.ones(part.num_rows, bool)
-                    clean[[x[0] for x in index.find(data, offsets)]] = False
-                    yield part.filter(pa.array(clean))
+    return written(in_arrow(numbered, rows, f"item long, item_id long, size int, enough int, place int, {WINDOWS}"))
 
-        return frame.mapInArrow(rows, frame.schema)
 
-    return reduce(keep, blocks(benchmark, limit), docs)
+def _bits(windows: DataFrame, limit: int) -> np.ndarray:
+    """A bit for each hash by its upper bits, 16 for a window but ``limit`` bytes at most; blocks of it are made by the executors."""
+    many = windows.count()
+    bits = min(max(13, (16 * max(many, 1)).bit_length()), max(13, (8 * limit).bit_length() - 1))
+    block = min(bits, 16)
+    slot = F.shiftrightunsigned("h", 64 - bits)
+
+    def one(table: pa.Table) -> pa.Table:
+        mask = np.zeros(1 << block, bool)
+        mask[table.column("slot").to_numpy() & ((1 << block) - 1)] = True
+        return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(mask).tobytes()], pa.binary())})
+
+    slots = windows.select(F.shiftright(slot, block).alias("block"), slot.alias("slot")).distinct()
+    got = slots.groupBy("block").applyInArrow(one, "block long, bits binary").toArrow()  # ``limit`` bytes at most
+    out = np.zeros((1 << (bits - block), 1 << (block - 3)), np.uint8)
+    for k, blob in zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True):
+        out[k] = np.frombuffer(blob, np.uint8)
+    return out.ravel()
+
+
+def _key() -> Column:
+    """128 bits of a document's id and text."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
+    """(key, doc_id, item_id, matched_tokens, item_tokens, reparameterised, times): documents are one if id and text are equal."""
+    spark = docs.sparkSession
+    windows = _benchmark(benchmark)
+    lengths = sorted((r["kind"], r["n"]) for r in windows.select("kind", "n").distinct().collect())  # a few lengths
+    bits = spark.sparkContext.broadcast(_bits(windows, limit))
+
+    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        shift = U64(64 - (len(known).bit_length() + 2))
+        for part, data, offsets in chunks(batch):
+            t = Tokens(data, offsets)
+            first = np.searchsorted(t.doc, np.arange(part.num_rows + 1))
+            for w in found_windows(t, lengths):
+                slot = (w.hash >> shift).astype(np.int64)
+                w = once_each(w.take((known[slot >> 3] >> (7 - (slot & 7))) & 1 == 1), t)
+                doc = t.doc[w.at]
+                columns = {c: part.column(c).take(pa.array(doc)) for c in ("key", "doc_id")} | {"token": pa.array(w.at - first[doc])}
+                yield pa.RecordBatch.from_pydict(columns | _columns(w, t))
+
+    keyed = id_text(docs).select(_key().alias("key"), "doc_id", "text")
+    candidates = in_arrow(keyed, rows, f"key binary, doc_id long, token long, {WINDOWS}")
+    # Equal rows are counted before anything is joined.
+    counted = candidates.groupBy("key", "doc_id", "token", "h", "kind", "n", "literals", "kinds").agg(F.count(F.lit(1)).alias("times"))
+    dealt = counted.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).toDF("key", "doc_id", "token", "h", "kind", "n", "theirs", "their_kinds", "times", "salt")
+    each = windows.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    pairs = dealt.join(each, ["h", "kind", "n", "salt"]).groupBy("key", "doc_id", "item", "item_id", "size", "enough").agg(F.max("times").alias("times"), F.collect_list(F.struct("kind", "token", "place", "theirs", "their_kinds", "literals", "kinds")).alias("hits"))
+
+    def check(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keep, matched, changed = [], [], []
+        for i, (hits, enough) in enumerate(zip(batch.column("hits"), batch.column("enough").to_pylist(), strict=True)):
+            tokens, differs = verify([_hit(x) for x in hits.as_py()])
+            if tokens and len(tokens) >= enough:
+                keep.append(i)
+                matched.append(len(tokens))
+                changed.append(differs)
+        got = batch.select(["key", "doc_id", "item_id", "size", "times"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*got.columns, pa.array(matched, pa.int32()), pa.array(changed, pa.bool_())], [*got.schema.names, "matched_tokens", "reparameterised"])
+
+    return in_arrow(pairs, check, "key binary, doc_id long, item_id long, size int, times long, matched_tokens int, reparameterised boolean")
+
+
+def _hit(x: dict) -> Hit:
+    literal, kind = (lambda b: np.frombuffer(b, U64)), (lambda b: np.frombuffer(b, np.uint8))
+    return Hit(x["kind"], x["token"], x["place"], literal(x["theirs"]), kind(x["their_kinds"]), literal(x["literals"]), kind(x["kinds"]))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK) -> DataFrame:
+    """One row per (document, item) found; ``contaminated`` is always true. ``limit`` bounds the bits that documents are tested by."""
+    each = _found(docs, benchmark, limit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return each.select("doc_id", "item_id", "matched_tokens", F.col("size").alias("item_tokens"), "reparameterised", F.lit(True).alias("contaminated"))
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = BLOCK) -> DataFrame:
+    """The rows of ``docs``, unchanged, in which no item is found.
+
+    The documents found are written down first, so that their size is known: few are broadcast, many are joined.
+    """
+    key = private(docs.columns, "key")
+    found = written(_found(docs, benchmark, limit).select(F.col("key").alias(key)).distinct())
+    return docs.withColumn(key, _key()).join(found, key, "left_anti").drop(key)
