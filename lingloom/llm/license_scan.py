@@ -161,3 +161,15 @@ def scan(docs: DataFrame, notices: dict[str, str] | None = None, edit_every: int
             yield pa.RecordBatch.from_arrays([part.column("doc_id") if f.name == "doc_id" else pa.array(counts if f.name == "n_words" else out[f.name], f.type) for f in schema], schema=schema)
 
     return in_arrow(id_text(docs), rows, SCHEMA)
+
+
+#: Word counts and exact phrases in SQL, over the view ``documents``.
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 1] = ['cc', 'by']) AS a,
+    list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['general', 'public', 'license']) AS b, list_filter(range(1, len(w) + 1), lambda i: w[i:i + 2] = ['all', 'rights', 'reserved']) AS c FROM d),
+q AS (SELECT *, list_concat(list_concat(a, b), c) AS x FROM p)
+SELECT doc_id, n::BIGINT AS n_words, len(x)::BIGINT AS n_base, list_min(x) - 1 AS first_word, list_max(x) - 1 AS last_word,
+  array_to_string(list_filter([CASE WHEN len(a) > 0 THEN 'cc-by' END, CASE WHEN len(b) > 0 THEN 'gpl' END, CASE WHEN len(c) > 0 THEN 'reserved' END], lambda y: y IS NOT NULL), ',') AS base_labels
+FROM q
+"""
