@@ -124,7 +124,7 @@ def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
         if not found:
             return exchange.mail([], [], [])
         h, counts = np.unique(np.concatenate(found), return_counts=True)
-        return exchange.letters(left.column("g")[0].as_py(), h, counts, layout)
+        return exchange.send(left.column("g")[0].as_py(), h, counts, layout)
 
     sent = texts.groupBy("g").cogroup(by_group.groupBy("g")).applyInArrow(send, exchange.MAIL)
     # One class alone: 0; else the logarithm of the number of classes, in steps that a byte can hold.

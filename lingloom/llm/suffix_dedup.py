@@ -9,8 +9,11 @@ a bottom-up mergesort whose merges are all done at once, level by level. Neighbo
 bytes are equal; their bytes are compared as well, so that a hash collision removes nothing. Of each distinct string the
 smallest document keeps it.
 
-Equal stretches are merged before the shuffle and again in a bucket, so a passage shared by any number of documents
-is sorted once; a group of documents sends it at most once.
+Equal stretches are merged before the shuffle, by the relays of a large input, and again in a bucket, so a passage shared
+by any number of documents is sorted once; a group of documents sends it at most once.
+
+Bytes are named by their places in a group's texts, laid end to end in the order of id and text, which every pass restores
+for itself: a shuffle may deliver rows in another order each time it is read.
 
 Null text is the empty text: nothing removed. A null doc_id is no smaller document and loses nothing. Rows with one doc_id
 are one document's texts and don't remove from each other. Matches never cross rows; an empty table gives an empty result.
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 
 from . import exchange
 from .exchange import Layout, grouped, layout_of
+from .frames import private
 from .textbuf import U64, Hashes, chunks, mix64, per_doc, spans
 
 LENGTH, SEED = 50, 24
@@ -201,9 +205,10 @@ def covered(data: np.ndarray, start: np.ndarray, last: np.ndarray, anchor: np.nd
 
 
 class Group:
-    """The texts of one group of documents, end to end, with their stretches."""
+    """The texts of one group of documents, end to end, with their stretches. ``table`` has the rows in their order."""
 
     def __init__(self, table: pa.Table) -> None:
+        self.table = table = exchange.in_order(table)
         parts, size = [], 0
         texts, offsets, doc_ids, ends = [], [np.zeros(1, np.int64)], [], 0
         for part, data, at in chunks(table, limit=HASH_BYTES):
@@ -253,64 +258,110 @@ class Group:
         return np.union1d(some[firsts], some[~alike]), some[gone], some[again], lead[again]
 
 
+@dataclass
+class Letters:
+    """Stretches on their way to a bucket: anchor, document id, place in the owner's texts, length, owner; and their bytes."""
+
+    head: np.ndarray  # the five as rows
+    text: np.ndarray
+
+    @classmethod
+    def read(cls, blobs: list[bytes]) -> Letters:
+        heads, texts = [np.zeros((5, 0), np.int64)], [np.zeros(0, np.uint8)]
+        for blob in blobs:
+            n = int.from_bytes(blob[:4], "little")
+            raw = np.frombuffer(zstandard.decompress(blob[4:]), np.uint8)
+            heads.append(np.ascontiguousarray(raw[: 40 * n].reshape(5, 8, n).transpose(0, 2, 1)).view("<i8").reshape(5, n))
+            texts.append(raw[40 * n :])
+        return cls(np.concatenate(heads, 1), np.concatenate(texts))
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.head[3]) - self.head[3]
+
+    def take(self, some: np.ndarray) -> Letters:
+        size = self.head[3][some]
+        at = np.repeat(self.start[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return Letters(self.head[:, some], self.text[at])
+
+    def mail(self, g: int, bits: int) -> pa.Table:
+        """By bucket, one blob each, its anchors in order."""
+        order = np.argsort(self.head[0].view(U64), kind="stable")
+        buckets, edges = exchange.cuts(self.head[0].view(U64)[order], bits)
+        blobs = []
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = self.take(order[a:b])
+            head = np.concatenate([x.astype("<i8").view(np.uint8).reshape(-1, 8).T.ravel() for x in part.head])
+            blobs.append((b - a).item().to_bytes(4, "little") + zstandard.compress(head.tobytes() + part.text.tobytes(), 3))
+        return exchange.mail([g] * len(buckets), buckets.tolist(), blobs)
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct stretch the first of the smallest document; those that equal one of a smaller document; further
+        ones of the same document, and the ones that they equal. A hash collision leaves a stretch that stands for itself."""
+        anchor, ids, _, size, _ = self.head
+        start = self.start
+        whole = mix64(Hashes(self.text).of(start, start + size) + size.astype(U64)) if len(size) else anchor
+        firsts, number = _firsts((anchor, whole, size), ids)
+        lead = firsts[number] if len(firsts) else firsts
+        alike = _same_text(self.text, start, size, start[lead])
+        gone = alike & (ids > ids[lead])
+        again = alike & (ids == ids[lead]) & (lead != np.arange(len(lead)))
+        return np.union1d(firsts, np.flatnonzero(~alike)), np.flatnonzero(gone), np.flatnonzero(again), lead[again]
+
+
 def _letters(group: Group, g: int, some: np.ndarray, layout: Layout) -> pa.Table:
-    """Stretches by bucket: packed columns (anchor, document id, place in the group, length, place of the anchor) and texts."""
+    """The group's stretches by bucket."""
     s = group.s
-    bucket = (s.anchor[some] >> U64(64 - layout.bits)).astype(np.int64)
-    order = np.lexsort((s.anchor[some], bucket))
-    some, bucket = some[order], bucket[order]
-    edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-    blobs, to = [], []
-    for a, b in zip(edges, edges[1:], strict=False):
-        i = some[a:b]
-        size = s.last[i] - s.start[i] + LENGTH
-        at = np.repeat(s.start[i] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        head = np.concatenate([x.astype("<i8").view(np.uint8).reshape(-1, 8).T.ravel() for x in (s.anchor[i].view(np.int64), s.ids[i], s.start[i], size)])
-        blobs.append(len(i).to_bytes(4, "little") + zstandard.compress(head.tobytes() + group.data[at].tobytes(), 3))
-        to.append(int(bucket[a]))
-    return exchange.mail([g] * len(to), to, blobs)
+    size = s.last[some] - s.start[some] + LENGTH
+    at = np.repeat(s.start[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    return Letters(np.stack([s.anchor[some].view(np.int64), s.ids[some], s.start[some], size, np.full(len(some), g)]), group.data[at]).mail(g, layout.direct)
+
+
+def _runs(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Runs of bytes a .. b that go, by group."""
+    order = np.lexsort((a, g))
+    g, a, b = g[order], a[order], b[order]
+    edges = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
+    blobs = [zstandard.compress(np.concatenate([a[x:y], b[x:y]]).astype("<i8").tobytes(), 1) for x, y in zip(edges, edges[1:], strict=False)]
+    return g[edges[:-1]].tolist(), blobs
+
+
+def _relayed(table: pa.Table, layout: Layout) -> pa.Table:
+    """Merges what several groups send for a range of buckets and sends it on; replies, named by buckets below zero, for
+    stretches that a smaller document has as a whole."""
+    letters = Letters.read(table.column("blob").to_pylist())
+    left, gone, again, _ = letters.merge()
+    out = letters.take(np.union1d(left, again)).mail(0, layout.bits)
+    _, _, home, size, owner = letters.head[:, gone]
+    g, blobs = _runs(owner, home, home + size)
+    return pa.concat_tables([out, exchange.mail(g, [-1 - x for x in g], blobs)])
 
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
     """Sorts a bucket's suffixes, some anchors at a time; replies (g, first byte, stop byte) runs to each group."""
-    columns, texts, owners = [], [], []
-    for g, blob in zip(table.column("g").to_pylist(), table.column("blob").to_pylist(), strict=True):
-        n = int.from_bytes(blob[:4], "little")
-        raw = np.frombuffer(zstandard.decompress(blob[4:]), np.uint8)
-        columns.append(np.ascontiguousarray(raw[: 32 * n].reshape(4, 8, n).transpose(0, 2, 1)).view("<i8").reshape(4, n))
-        texts.append(raw[32 * n :])
-        owners.append(np.full(n, g, np.int64))
-    anchor, ids, home, size = np.concatenate(columns, 1)
-    anchor, owner, data = anchor.view(U64), np.concatenate(owners), np.concatenate(texts)
-    at = np.cumsum(size) - size
+    if table.column("bucket")[0].as_py() < 0:
+        return exchange.mail(table.column("g").to_pylist(), [-1] * table.num_rows, table.column("blob").to_pylist())
+    letters = Letters.read(table.column("blob").to_pylist())
+    anchor, size = letters.head[0].view(U64), letters.head[3]
     order = np.argsort(anchor, kind="stable")
     border = np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]])
     block = np.maximum.accumulate(np.where(border, (np.cumsum(size[order]) - size[order]) // SORT_BYTES, 0))
     found = []
     for some in np.split(order, np.flatnonzero(np.diff(block)) + 1):
-        n = size[some]
-        text = data[np.repeat(at[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-        which, first, stop = _sorted(text, anchor[some], ids[some], n)
-        found.append((owner[some][which], home[some][which] + first, home[some][which] + stop + LENGTH))
-    g, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((a, g))
-    g, a, b = g[order], a[order], b[order]
-    edges = np.flatnonzero(np.diff(g, prepend=-1, append=-1))
-    blobs = [zstandard.compress(np.concatenate([a[x:y], b[x:y]]).astype("<i8").tobytes(), 1) for x, y in zip(edges, edges[1:], strict=False)]
-    return exchange.mail(g[edges[:-1]].tolist(), [-1] * len(blobs), blobs)
-
-
-def _sorted(data: np.ndarray, anchor: np.ndarray, ids: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretch, first, last window) of the runs of windows that go, of stretches laid end to end."""
-    start = np.cumsum(size) - size
+        part = letters.take(some)
+        which, first, stop = _sorted(part)
+        home, owner = part.head[2][which], part.head[4][which]
+        found.append((owner, home + first, home + stop + LENGTH))
+    g, blobs = _runs(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    return exchange.mail(g, [-1] * len(blobs), blobs)
+
+
+def _sorted(letters: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first, last window) of the runs of windows that go."""
+    data, start = letters.text, letters.start
+    anchor, ids, size = letters.head[0].view(U64), letters.head[1], letters.head[3]
     last = start + size - LENGTH
-    whole = mix64(Hashes(data).of(start, start + size) + size.astype(U64))
-    firsts, number = _firsts((anchor, whole, size), ids)
-    lead = firsts[number]
-    alike = _same_text(data, start, size, start[lead])
-    gone = np.flatnonzero(alike & (ids > ids[lead]))  # equal to a smaller document's stretch as a whole
-    again = np.flatnonzero(alike & (ids == ids[lead]) & (lead != np.arange(len(lead))))
-    left = np.union1d(firsts, np.flatnonzero(~alike))
+    left, gone, again, lead = letters.merge()
     order = left[np.argsort(anchor[left], kind="stable")]
     edges = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1], [True]]))
     several = np.diff(edges)
@@ -320,7 +371,7 @@ def _sorted(data: np.ndarray, anchor: np.ndarray, ids: np.ndarray, size: np.ndar
         place = _anchor_place(data, start[order], last[order], anchor[order])
         which, first, stop = covered(data, start[order], last[order], anchor[order], -place, ids[order])
         which = order[which]
-        at, first_, stop_ = _repeats(which, first, stop, lead[again])
+        at, first_, stop_ = _repeats(which, first, stop, lead)
         runs += [(which, first, stop), (again[at], first_, stop_)]
     which, first, stop = (np.concatenate(x) for x in zip(*runs, strict=True))
     return which, first, stop
@@ -375,7 +426,7 @@ def _passes(texts: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
 
     def send(table: pa.Table) -> pa.Table:
         group = Group(table)
-        return exchange.letters(table.column("g")[0].as_py(), *group.fingerprints(), layout)
+        return exchange.send(table.column("g")[0].as_py(), *group.fingerprints(), layout)
 
     shared = exchange.replies(texts.groupBy("g").applyInArrow(send, exchange.MAIL), layout, lambda total: (total > 1).astype(np.uint8))
 
@@ -387,7 +438,9 @@ def _passes(texts: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
         return _letters(group, left.column("g")[0].as_py(), lead[group.s.ids[lead] != NO_ID], layout)
 
     posted = texts.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(post, exchange.MAIL)
-    runs = exchange.by_bucket(posted, layout).applyInArrow(_sorted_bucket, exchange.MAIL)
+    if layout.more:
+        posted = posted.withColumn("relay", layout.relay()).repartition(layout.partitions, "relay").groupBy("relay").applyInArrow(lambda table: _relayed(table, layout), exchange.MAIL)
+    runs = exchange.by_bucket(posted, layout.bits).applyInArrow(_sorted_bucket, exchange.MAIL)
     return texts, shared.unionAll(runs)
 
 
@@ -407,15 +460,14 @@ def strip(docs: DataFrame) -> DataFrame:
     A text that is all repeats becomes empty; a null text stays null.
     """
     layout, columns = layout_of(docs), docs.columns
-    key = "g"
-    while key in columns:
-        key += "_"
-    rows = docs.withColumn(key, exchange.group_of(layout)).repartition(layout.groups, key)
+    key = private(columns, "g")
+    rows = docs.withColumn(key, exchange.group_of(layout)).repartition(layout.partitions, key)
     texts = rows.select(F.col(key).alias("g"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     _, mail = _passes(texts, layout)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         group = Group(left)
+        left = group.table
         mask = whole_characters(removed(group, right, layout), group.data)
         at, old = group.offsets, left.column("text").to_pylist()
         new = [None if t is None else group.data[a:b][~mask[a:b]].tobytes().decode("utf-8", "replace") if mask[a:b].any() else t for t, a, b in zip(old, at[:-1], at[1:], strict=True)]
