@@ -5,12 +5,19 @@ least ``PERCENT`` / 100. Equal sets form a class, and only each class's smallest
 Shingles are ordered by corpus-wide document frequency, rarest first; linked sets share a shingle among their first
 n - ceil(0.8 n) + 1, so the join is on these prefixes, where shingles of one class alone can be left out.
 
-The join never pairs up all members of a frequent shingle. Every member is first paired with the shingle's most central
+Shingles of HOT classes or more are joined in a second way, so that boilerplate pairs nobody up. A prefix holds a hot shingle
+only if the set has less than 0.2 n others, and then holds all of these. So linked sets that share a cold shingle share one
+in their prefixes, and need cold keys only; linked sets that share none have enough hot shingles in common. Those are nodes of
+their own: all sets with the same hot shingles and the same size are one, since each of them links through hot shingles
+with whatever any of them does. A node is expanded to its sets, a link each, if it links at all.
+
+The join never pairs up all members of a shingle. Every member is first paired with the shingle's most central
 member (the one with the fewest rarer shingles), and links give components. Where members still lie in different
 components, those outside the shingle's largest component meet single members of it first (ROUNDS times), and then all
 others: a link within a component changes nothing, so no link that matters is lost. Pairs pass length, positional and
-suffix filters, are made distinct, and are verified on the whole sets once. The suffix filter bounds the sets' difference
-from below by parities: each range of hashes of which one set has an odd and the other an even number differs.
+suffix filters, are made distinct, and are verified on the whole sets once. The suffix filter bounds the difference of what
+two sets have beyond their lone shingles from below, by parities: each range of hashes of which one set has an odd and the
+other an even number differs. Joins on hot shingles are dealt by node as well (SALTS), so no shingle has one task.
 
 Null or empty text and text without words: the empty set, linked with nothing. A null doc_id takes part in nothing and
 gets a null component. Rows with one doc_id and different texts are one node. An empty table gives an empty result.
@@ -23,29 +30,32 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
 from .components import components
 from .exchange import Layout, grouped, layout_of
-from .frames import id_text, in_arrow
+from .frames import id_text, in_arrow, private
 from .store import stored
-from .textbuf import U64, Hashes, chunks, lower_table, mix64, words
+from .textbuf import U64, chunks, lower_table, mix64, span_hashes, words
 
 WORDS, PERCENT = 5, 80
 #: Bits of the suffix filter's parities, in longs.
 BITS, LONGS = 512, 8
 #: Rounds in which members outside a shingle's largest component meet other members of it, one each.
 ROUNDS = 1
-CANDIDATES = "doc_id long, n int, head array<struct<h:long,pos:int>>, parity array<long>, shingles binary"
+#: Classes from which on a shingle is hot; steps of the logarithm, base two, in which groups are told; parts of a hot shingle's joins.
+HOT, STEP, SALTS = 64, 6, 32
+HEAD, KEYS = "array<struct<h:long,pos:int,rest:int>>", "doc_id long, f1 long, f2 long"
+CANDIDATES = f"{KEYS}, n int, size int, head {HEAD}, parity array<long>, shingles binary, h1 long, h2 long, hot_size int, hot_head {HEAD}, hot_parity array<long>, hot binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The ascending distinct 64-bit shingle hashes of each document."""
     low = lower_table()[data]
     start, stop = words(low, offsets)
-    word = mix64(Hashes(low).of(start, stop) + (stop - start).astype(U64))
+    word = span_hashes(low, start, stop)
     first = np.searchsorted(start, offsets)
     many = max(0, len(word) - WORDS + 1)
     h = np.zeros(many, U64)
@@ -74,16 +84,21 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
 
 
 def sets(docs: DataFrame, layout: Layout) -> DataFrame:
-    """(g, doc_id, n_shingles, f1, f2) of every row."""
+    """(g, doc_id, digest, n_shingles, f1, f2) of every row; the digest is of the text."""
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batch):
             all_ = shingle_sets(data, offsets)
             prints = [fingerprint(s) for s in all_]
-            yield pa.RecordBatch.from_arrays([part.column("g"), part.column("doc_id"), pa.array([len(s) for s in all_], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], ["g", "doc_id", "n_shingles", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("g", "doc_id", "digest")], pa.array([len(s) for s in all_], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64())], ["g", "doc_id", "digest", "n_shingles", "f1", "f2"])
+
+    dealt = id_text(docs).select(exchange.group_of(layout).alias("g"), "doc_id", _digest("text").alias("digest"), "text")
+    return in_arrow(dealt, rows, "g int, doc_id long, digest binary, n_shingles long, f1 long, f2 long")
 
-    dealt = id_text(docs).select(exchange.group_of(layout).alias("g"), "doc_id", "text")
-    return in_arrow(dealt, rows, "g int, doc_id long, n_shingles long, f1 long, f2 long")
+
+def _digest(text: str) -> Column:
+    """128 bits of a text; none of a null."""
+    return F.coalesce(F.unhex(F.md5(F.col(text).cast("string").cast("binary"))), F.lit(b""))
 
 
 def need(n: np.ndarray) -> np.ndarray:
@@ -91,8 +106,8 @@ def need(n: np.ndarray) -> np.ndarray:
     return -(-n * PERCENT // 100)
 
 
-def _representatives(table: pa.Table, ids: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    """The group's class representatives, each class once: ids and shingle sets."""
+def _representatives(table: pa.Table, ids: np.ndarray) -> tuple[list[tuple[int, int, int]], list[np.ndarray]]:
+    """The group's class representatives, each class once: (id, fingerprint) and shingle sets."""
     wanted, found, seen = set(ids.tolist()), ([], []), set()
     for part, data, offsets in chunks(table):
         doc_ids = part.column("doc_id").to_pylist()
@@ -104,7 +119,7 @@ def _representatives(table: pa.Table, ids: np.ndarray) -> tuple[list[int], list[
         for i, s in zip(keep, shingle_sets(own, np.concatenate([[0], np.cumsum(lengths)])), strict=True):
             if len(s) and (key := (doc_ids[i], *fingerprint(s))) not in seen:
                 seen.add(key)
-                found[0].append(doc_ids[i])
+                found[0].append(key)
                 found[1].append(s)
     return found
 
@@ -114,8 +129,34 @@ def _ids(table: pa.Table) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
-    """Representatives whose prefix has a shingle of another class, with prefix, set, and parities of the set by ranges."""
+def _parity(s: np.ndarray) -> list[int]:
+    odd = np.bincount((s >> U64(64 - 9)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _head(order: np.ndarray, size: int) -> list[dict]:
+    """The first shingles of an order, each with the number of those before it and, of ``size`` in all, behind it."""
+    return [{"h": int(x), "pos": k, "rest": size - k - 1} for k, x in enumerate(order.astype(np.int64).tolist())]
+
+
+def candidate(s: np.ndarray, f: np.ndarray, many: int = HOT) -> list | None:
+    """What a set with frequencies ``f`` (0: alone) takes to the join: of its cold shingles, and of its hot ones."""
+    n, edge = len(s), round(np.log2(many) * STEP)
+    prefix = n - int(need(np.array(n))) + 1
+    alone, cold = int((f == 0).sum()), int((f < edge).sum())
+    if alone >= prefix:
+        return None
+    order = s[np.lexsort((s, f))]
+    row = [n, n - alone, _head(order[alone : min(cold, prefix)], n - alone)]
+    row += [_parity(order[alone:]), s.tobytes()] if row[2] else [None, None]
+    if cold >= prefix:
+        return row + [None] * 6
+    hot = order[cold:]
+    return [*row, *fingerprint(hot), len(hot), _head(hot[: prefix - cold], len(hot)), _parity(hot), np.sort(hot).tobytes()]
+
+
+def candidates(docs: DataFrame, reps: DataFrame, layout: Layout, many: int = HOT) -> DataFrame:
+    """Representatives whose prefix has a shingle of another class (``candidate``)."""
     texts = grouped(docs, layout)
     by_group = reps.groupBy("g").agg(F.collect_list("doc_id").alias("ids"))
 
@@ -128,29 +169,20 @@ def candidates(docs: DataFrame, reps: DataFrame, layout: Layout) -> DataFrame:
 
     sent = texts.groupBy("g").cogroup(by_group.groupBy("g")).applyInArrow(send, exchange.MAIL)
     # One class alone: 0; else the logarithm of the number of classes, in steps that a byte can hold.
-    answered = exchange.replies(sent, layout, lambda total: np.where(total < 2, 0, np.clip(np.round(np.log2(np.maximum(total, 2)) * 6), 1, 255)))
+    answered = exchange.replies(sent, layout, lambda total: np.where(total < 2, 0, np.clip(np.round(np.log2(np.maximum(total, 2)) * STEP), 1, 255)))
     mail = answered.withColumn("ids", F.lit(None).cast("array<long>")).unionByName(by_group.select("g", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "ids"))
 
     def choose(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, found = _representatives(left, _ids(right))
-        out: list[list] = [[], [], [], [], []]
+        keys, found = _representatives(left, _ids(right))
+        rows = []
         if found:
             h = np.unique(np.concatenate(found))
             frequency = exchange.read_replies(right, h, layout)
-            for doc, s in zip(ids, found, strict=True):
-                n = len(s)
-                f = frequency[np.searchsorted(h, s)]
-                alone = int((f == 0).sum())
-                prefix = n - int(need(np.array(n))) + 1
-                if alone >= prefix:
-                    continue
-                order = np.lexsort((s, f))[:prefix]
-                head = [{"h": int(x), "pos": k} for k, x in zip(range(alone, prefix), s[order[alone:]].astype(np.int64), strict=True)]
-                odd = np.bincount((s >> U64(64 - 9)).astype(np.int64), minlength=BITS) & 1
-                parity = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                for column, x in zip(out, (doc, n, head, parity.tolist(), s.tobytes()), strict=True):
-                    column.append(x)
-        return pa.table({"doc_id": pa.array(out[0], pa.int64()), "n": pa.array(out[1], pa.int32()), "head": pa.array(out[2], pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32())]))), "parity": pa.array(out[3], pa.list_(pa.int64())), "shingles": pa.array(out[4], pa.binary())})
+            rows = [[*key, *row] for key, s in zip(keys, found, strict=True) if (row := candidate(s, frequency[np.searchsorted(h, s)], many))]
+        head = pa.list_(pa.struct([("h", pa.int64()), ("pos", pa.int32()), ("rest", pa.int32())]))
+        long, integer, parity, raw = pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary()
+        types = [long, long, long, integer, integer, head, parity, raw, long, long, integer, head, parity, raw]
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=[c.split()[0] for c in CANDIDATES.split(", ")])
 
     return texts.groupBy("g").cogroup(mail.groupBy("g")).applyInArrow(choose, CANDIDATES)
 
@@ -165,38 +197,36 @@ def enough(most: Column, total: Column) -> Column:
     return (100 + PERCENT) * most >= PERCENT * total
 
 
-def near(n: str, p: str, m: str, q: str) -> Column:
-    """Positional filter for a shingle at places p and q of sets of n and m: all before it and all behind it may be shared."""
-    most = F.least(F.col(p), F.col(q)) + 1 + F.least(F.col(n) - F.col(p) - 1, F.col(m) - F.col(q) - 1)
-    return length(n, m) & enough(most, F.col(n) + F.col(m))
+def near(p: str, r: str, n: str, q: str, t: str, m: str) -> Column:
+    """Positional filter for a shingle with p and q before it and r and t behind it: all of the fewer may be shared."""
+    return length(n, m) & enough(F.least(p, q) + 1 + F.least(r, t), F.col(n) + F.col(m))
 
 
-def alike(n: str, x: str, m: str, y: str) -> Column:
-    """Suffix filter: twice the overlap is the sum of sizes less the difference, which the parities bound."""
+def alike(size: str, x: str, n: str, other: str, y: str, m: str) -> Column:
+    """Suffix filter: twice the overlap is the sum of the sizes without lone shingles less the difference, which the
+    parities bound."""
     apart = reduce(lambda s, t: s + t, [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(LONGS)])
-    total = F.col(n) + F.col(m)
-    return (100 + PERCENT) * (total - apart) >= 2 * PERCENT * total
+    return (100 + PERCENT) * (F.col(size) + F.col(other) - apart) >= 2 * PERCENT * (F.col(n) + F.col(m))
 
 
-def verified(pairs: DataFrame, sized: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (a, b): suffix filter, then the intersection of whole sets.
 
     Each pair's sets are laid side by side by two shuffles; a popular document's set is sent to where its pairs are.
     """
-    light = sized.select("doc_id", "n", "parity")
-    sizes = pairs.join(light.toDF("a", "n_a", "p_a"), "a").join(light.toDF("b", "n_b", "p_b"), "b")
-    passed = sizes.where(length("n_a", "n_b") & alike("n_a", "p_a", "n_b", "p_b")).select("a", "b").distinct()
-    whole = sized.select("doc_id", "shingles")
+    light = nodes.select("node", "n", "size", "parity")
+    sizes = pairs.join(light.toDF("a", "n_a", "s_a", "p_a"), "a").join(light.toDF("b", "n_b", "s_b", "p_b"), "b")
+    passed = sizes.where(length("n_a", "n_b") & alike("s_a", "p_a", "n_a", "s_b", "p_b", "n_b")).select("a", "b", "n_a", "n_b").distinct()
+    whole = nodes.select("node", "shingles")
     side = passed.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ok = []
+        shared = []
         for x, y in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True):
-            u, v = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = np.sort(np.concatenate([u, v]))
-            shared = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * shared >= PERCENT * (len(u) + len(v) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            both = np.sort(np.concatenate([np.frombuffer(x, U64), np.frombuffer(y, U64)]))
+            shared.append(int((both[1:] == both[:-1]).sum()))
+        total = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+        yield batch.select(["a", "b"]).filter(pa.array((100 + PERCENT) * np.array(shared, np.int64) >= PERCENT * total))
 
     return in_arrow(side, rows, "a long, b long").distinct()
 
@@ -205,74 +235,119 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def links(found: DataFrame) -> DataFrame:
-    """Links between candidates that, closed, give the components of all links."""
-    heads = found.select("doc_id", "n", F.explode("head").alias("t")).select("doc_id", "n", "t.h", "t.pos")
-    least = heads.groupBy("h").agg(F.min(F.struct("pos", "n", "doc_id")).alias("c"))
-    stars = heads.join(least.select("h", F.col("c.doc_id").alias("x"), F.col("c.n").alias("m"), F.col("c.pos").alias("q")), "h").where("doc_id <> x").where(near("n", "pos", "m", "q"))
+def _by_shingle(many: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+    """A join on ``h`` in which the left rows of a hot shingle are dealt over SALTS parts and the right ones go to each.
+
+    ``hot`` says on both sides whether the shingle is; the result has the left one's.
+    """
+    parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    left = many.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return left.join(few.withColumn("salt", F.explode(parts)).drop("hot"), ["h", "salt"], how).drop("salt")
+
+
+def links(nodes: DataFrame) -> DataFrame:
+    """Links between nodes that, closed, give the components of all links. Nodes below zero are hot ones."""
+    heads = nodes.select("node", "n", (F.col("node") < 0).alias("hot"), F.explode("head").alias("t")).select("node", "n", "hot", "t.h", "t.pos", "t.rest")
+    # Central is what has the fewest rarer shingles, lone ones included.
+    place = F.col("n") - F.col("rest")
+    least = heads.groupBy("h").agg(F.min(F.struct(place.alias("o"), "n", "node", "pos", "rest")).alias("c"), F.first("hot").alias("hot"))
+    center = least.select("h", "hot", F.col("c.node").alias("x"), F.col("c.n").alias("m"), F.col("c.pos").alias("q"), F.col("c.rest").alias("t"), F.col("c.o").alias("o"))
+    stars = _by_shingle(heads, center).where("node <> x").where(near("pos", "rest", "n", "q", "t", "m"))
     # Of its shingles' central members a document meets the most central one and another.
-    met = stars.groupBy("doc_id").agg(F.min(F.struct("q", "m", "x")).alias("u"), F.min(F.struct(F.xxhash64("x"), "x")).alias("v"))
-    tried = stored(met.select("doc_id", F.explode(F.array("u.x", "v.x")).alias("x")).select(*_pair("doc_id", "x")).distinct())
-    linked = stored(verified(tried, found))
+    met = stars.groupBy("node").agg(F.min(F.struct("o", "m", "x")).alias("u"), F.min(F.struct(F.xxhash64("x"), "x")).alias("v"))
+    tried = stored(met.select("node", F.explode(F.array("u.x", "v.x")).alias("x")).select(*_pair("node", "x")).distinct())
+    linked = stored(verified(tried, nodes))
 
     for k in range(ROUNDS):
         rest = _open(heads, linked)
-        heads = rest.select("doc_id", "n", "h", "pos")  # a shingle of one component stays so
+        heads = rest.select("node", "n", "hot", "h", "pos", "rest")  # a shingle of one component stays so
         # Of the largest component a member by a hash of shingle and round, so that a document meets many; of the others
         # the most central one. Of these, a document meets one of each component.
-        member = F.struct(F.xxhash64("h", "doc_id", F.lit(k)).alias("o"), "doc_id", "n", "pos", "c")
-        central = F.struct(F.col("pos").cast("long").alias("o"), "doc_id", "n", "pos", "c")
-        chosen = rest.groupBy("h").agg(F.min(F.when(F.col("c") == F.col("top"), member)).alias("u"), F.min(F.when(F.col("c") != F.col("top"), central)).alias("v"))
-        meet = rest.where("c <> top").join(chosen, "h").select("doc_id", "n", "pos", "c", F.explode(F.array("u", "v")).alias("w")).select("doc_id", "n", "pos", "c", F.col("w.doc_id").alias("x"), F.col("w.n").alias("m"), F.col("w.pos").alias("q"), F.col("w.c").alias("d"))
-        one = meet.where(F.col("c") != F.col("d")).where(near("n", "pos", "m", "q")).groupBy("doc_id", "d").agg(F.min(F.struct(F.xxhash64("x", "doc_id"), "x")).alias("w"))
-        pairs = stored(one.select(*_pair("doc_id", "w.x")).distinct().join(tried, ["a", "b"], "left_anti"))
+        member = F.struct(F.xxhash64("h", "node", F.lit(k)).alias("o"), "node", "n", "pos", "rest", "c")
+        central = F.struct(place.cast("long").alias("o"), "node", "n", "pos", "rest", "c")
+        chosen = rest.groupBy("h").agg(F.first("hot").alias("hot"), F.min(F.when(F.col("c") == F.col("top"), member)).alias("u"), F.min(F.when(F.col("c") != F.col("top"), central)).alias("v"))
+        meet = _by_shingle(rest.where("c <> top"), chosen).select("node", "n", "pos", "rest", "c", F.explode(F.array("u", "v")).alias("w"))
+        meet = meet.select("node", "n", "pos", "rest", "c", F.col("w.node").alias("x"), F.col("w.n").alias("m"), F.col("w.pos").alias("q"), F.col("w.rest").alias("t"), F.col("w.c").alias("d"))
+        one = meet.where(F.col("c") != F.col("d")).where(near("pos", "rest", "n", "q", "t", "m")).groupBy("node", "d").agg(F.min(F.struct(F.xxhash64("x", "node"), "x")).alias("w"))
+        pairs = stored(one.select(*_pair("node", "w.x")).distinct().join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        tried, linked = tried.unionAll(pairs), stored(linked.unionAll(verified(pairs, found)))
+        tried, linked = tried.unionAll(pairs), stored(linked.unionAll(verified(pairs, nodes)))
 
-    rest = _open(heads, linked).join(found.select("doc_id", "parity"), "doc_id")
-    outside = rest.where("c <> top").select("h", F.col("doc_id").alias("x"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("c").alias("d"), F.col("parity").alias("r"))
+    rest = _open(heads, linked).join(nodes.select("node", "size", "parity"), "node")
+    outside = rest.where("c <> top").select("h", "hot", *[F.col(a).alias(b) for a, b in zip(("node", "n", "pos", "rest", "c", "size", "parity"), ("x", "m", "q", "t", "d", "other", "y"), strict=True)])
     # Between two outsiders each pair comes once.
-    once = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("top")) | (F.col("doc_id") < F.col("x")))
-    met = rest.join(outside, "h").where(once & near("n", "pos", "m", "q") & alike("n", "parity", "m", "r"))
-    # The position of a pair's first shared shingle bounds its overlap.
-    first = met.groupBy(*_pair("doc_id", "x")).agg(F.max(F.col("n") + F.col("m")).alias("total"), F.max(F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q"))).alias("most"))
+    once = (F.col("c") != F.col("d")) & ((F.col("c") == F.col("top")) | (F.col("node") < F.col("x")))
+    met = _by_shingle(rest, outside).where(once & near("pos", "rest", "n", "q", "t", "m") & alike("size", "parity", "n", "other", "y", "m"))
+    # Nothing before a pair's first shared shingle is shared, so what is behind it bounds the overlap.
+    first = met.groupBy(*_pair("node", "x")).agg(F.max(F.col("n") + F.col("m")).alias("total"), F.max(F.least("rest", "t") + 1).alias("most"))
     last = first.where(enough(F.col("most"), F.col("total"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
-    return linked.unionAll(verified(last, found))
+    return linked.unionAll(verified(last, nodes))
 
 
 def _open(heads: DataFrame, linked: DataFrame) -> DataFrame:
     """Prefix entries of shingles whose members lie in several components: with the own and the largest component."""
-    label = components(linked)
-    named = heads.join(label, heads.doc_id == label.node, "left").select("doc_id", "n", "h", "pos", F.coalesce("component", "doc_id").alias("c"))
-    sizes = named.groupBy("h", "c").agg(F.count(F.lit(1)).alias("size"))
-    several = sizes.groupBy("h").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", F.col("top.c").alias("top"))
-    return stored(named.join(several, "h"))
+    label = components(linked).toDF("node", "component")
+    named = heads.join(label, "node", "left").select("node", "n", "hot", "h", "pos", "rest", F.coalesce("component", "node").alias("c"))
+    sizes = named.groupBy("h", "hot", "c").agg(F.count(F.lit(1)).alias("size"))
+    several = sizes.groupBy("h", "hot").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "hot", F.col("top.c").alias("top"))
+    return stored(_by_shingle(named, several))
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+def _closed(docs: DataFrame, many: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Of every row (doc_id, digest, n_shingles, f1, f2); of each class of equal sets its smallest document (rep); links
+    (a, b) of nodes that, closed, give the components of classes; and the nodes' (node, doc_id, f1, f2)."""
     layout = layout_of(docs)
     own = stored(sets(docs, layout))
-    real = own.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = real.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "g")).alias("r"))
+    classes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "g")).alias("r"))
     reps = stored(classes.select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.g").alias("g")))
-    found = stored(candidates(docs, reps.select("g", F.col("rep").alias("doc_id")), layout))
+    # A class is a number from here on, a hot node one below zero; numbers are stored, so all readers see the same.
+    base = stored(candidates(docs, reps.select("g", F.col("rep").alias("doc_id")), layout, many).withColumn("node", F.monotonically_increasing_id()))
+    cold = base.where(F.size("head") > 0).select("node", "n", "size", "head", "parity", "shingles")
+    hot = base.where("hot IS NOT NULL")
+    leads = hot.groupBy("h1", "h2", "hot_size", "n").agg(F.min("node").alias("lead"))
+    first = leads.select(F.col("lead").alias("node")).join(hot, "node").select(F.expr("-1 - node").alias("node"), "n", F.col("hot_size").alias("size"), F.col("hot_head").alias("head"), F.col("hot_parity").alias("parity"), F.col("hot").alias("shingles"))
+    found = stored(links(stored(cold.unionAll(first))))
+    # A hot node's sets link with each other if it is linked, or if its hot shingles are enough by themselves.
+    linked = found.where("a < 0").select(F.explode(F.array("a", "b")).alias("x")).distinct().withColumn("linked", F.lit(True))
+    members = hot.select("node", "h1", "h2", "hot_size", "n").join(leads, ["h1", "h2", "hot_size", "n"]).select("node", "n", "hot_size", F.expr("-1 - lead").alias("x"))
+    inside = members.join(linked, "x", "left").where(F.coalesce("linked", F.lit(False)) | ((100 + PERCENT) * F.col("hot_size") >= 2 * PERCENT * F.col("n"))).select(F.col("node").alias("a"), F.col("x").alias("b"))
+    named = base.select("node", "doc_id", "f1", "f2")
+    return own, reps, found.unionAll(inside), named
+
+
+def join(docs: DataFrame, many: int = HOT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row; the result doesn't depend on from how ``many`` classes on a shingle is hot."""
+    own, reps, found, named = _closed(docs, many)
+    # A hot node has the name of its first set, which is linked where the node is.
+    ids = named.select("node", "doc_id").unionAll(named.select(F.expr("-1 - node"), "doc_id"))
+    pairs = found.join(ids.toDF("a", "u"), "a").join(ids.toDF("b", "v"), "b").select("u", "v")
     # Members of a class are linked with its representative; a doc_id with several texts joins their classes.
-    several = real.join(reps.select("f1", "f2", "n_shingles", "rep"), ["f1", "f2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    names = components(links(found).unionAll(several))
+    several = own.join(reps.drop("g"), ["f1", "f2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    names = components(pairs.unionAll(several), "u", "v")
     return own.join(names, own.doc_id == names.node, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest of its component, one row each; null ids stay as they are."""
-    names = join(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    at = "rank"
-    while at in docs.columns:
-        at += "_"
-    with_id = docs.where("doc_id IS NOT NULL").join(names, F.col("doc_id") == F.col("kept_id"), "left_semi").withColumn(at, rank).where(F.col(at) == 1).drop(at)
-    return with_id.unionAll(docs.where("doc_id IS NULL"))
+def keep_one(docs: DataFrame, many: int = HOT) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component of linked texts the smallest document's stays.
+
+    Rows count by id and text: rows with one id and texts that are not linked all stay; of rows equal in both one stays, and so do
+    rows without words. Rows without an id all stay.
+    """
+    own, reps, found, named = _closed(docs, many)
+    parts = named.join(components(found), "node")
+    least = parts.groupBy("component").agg(F.min(F.struct("doc_id", "f1", "f2")).alias("least"))
+    gone = parts.join(least, "component").where(F.struct("doc_id", "f1", "f2") != F.col("least")).select("doc_id", "f1", "f2")
+    rows = own.where("doc_id IS NOT NULL").groupBy("doc_id", "n_shingles", "f1", "f2", "digest").agg(F.count(F.lit(1)).alias("times"))
+    with_words = rows.where("n_shingles > 0").groupBy("doc_id", "n_shingles", "f1", "f2").agg(F.min(F.struct("digest", "times")).alias("t"))
+    first = with_words.join(reps.drop("g"), ["f1", "f2", "n_shingles"]).where("doc_id = rep").join(gone, ["doc_id", "f1", "f2"], "left_anti").select("doc_id", "t.digest", "t.times")
+    kept = first.unionAll(rows.where("n_shingles = 0").select("doc_id", "digest", "times"))
+
+    key = [private(docs.columns, c) for c in ("key_id", "key_text", "key_times")]
+    keyed = docs.withColumns({key[0]: F.col("doc_id").cast("long"), key[1]: _digest("text")})
+    chosen = keyed.join(kept.toDF(*key), key[:2])
+    alone, again = chosen.where(F.col(key[2]) == 1), chosen.where(F.col(key[2]) > 1).dropDuplicates(key[:2])
+    return alone.unionAll(again).drop(*key).unionAll(docs.where(F.col("doc_id").cast("long").isNull()))
 
 
 #: The same components in SQL, over the view ``documents``.
