@@ -46,19 +46,30 @@ class Stage:
     def apply(self, col: Column, lang: Language) -> Column:
         raise StageError(self.name, "has no form")
 
-    def column(self, col: Column, lang: Language) -> Column:
-        """The stage alone."""
+    def gate(self, lang: Language) -> Callable[[Column], Column] | None:
+        """A cheap look at a text, false only where the stage changes nothing; none if there is no such look."""
+        if (table := self.mapping(lang)) is None:
+            return None
+        quick = "".join(c for c in table if c.isascii() and table[c] != c)
+        if not quick:
+            return lambda col: ~is_ascii(col)
+        return lambda col: ~is_ascii(col) | col.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in quick) + "]")
+
+    def column(self, col: Column, lang: Language, gated: bool = True) -> Column:
+        """The stage alone. ``gated`` names ``col`` more than once, which is for columns, not for long expressions."""
         from ..plans.compose import emit, in_python
 
         if (table := self.mapping(lang)) is not None:
             return emit(col, table)
         if (function := self.python(lang)) is not None:
-            return in_python(col, [function])
+            return in_python(col, [function], [self.gate(lang)] if gated else [])
         return self.apply(col, lang)
 
     def needs_apply(self, col: Column, lang: Language) -> Column:
-        """Whether the stage would change the text."""
-        return ~self.column(col, lang).eqNullSafe(col)
+        """Whether the stage would change the text. Where the gate says no, the stage isn't run."""
+        gate = self.gate(lang)
+        changed = ~self.column(col, lang).eqNullSafe(col)
+        return changed if gate is None else F.when(gate(col), changed).otherwise(False)
 
     @property
     def fusable(self) -> bool:

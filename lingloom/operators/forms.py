@@ -6,8 +6,10 @@ import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 from ..functions.languages import Language
-from .base import Stage, ValidationError
+from .base import Stage, ValidationError, is_ascii
 
 
 @dataclass(frozen=True)
@@ -26,6 +28,9 @@ class UnicodeForm(Stage):
     def fusable(self) -> bool:
         return False
 
+    def gate(self, lang: Language) -> Callable[[Column], Column]:
+        return lambda col: ~is_ascii(col)
+
     def python(self, lang: Language) -> Callable[[str], str]:
         form = self.form
         return lambda text: text if text.isascii() else unicodedata.normalize(form, text)

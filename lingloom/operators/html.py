@@ -7,6 +7,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 from ..functions.charsets import WHITE_CHARS
 from ..functions.languages import Language
 from .base import Stage
@@ -103,5 +105,8 @@ class StripHtml(Stage):
     def fusable(self) -> bool:
         return False
 
+    def gate(self, lang: Language) -> Callable[[Column], Column]:
+        return lambda col: col.contains("<") | col.contains("&")
+
     def python(self, lang: Language) -> Callable[[str], str]:
         return strip

@@ -9,9 +9,11 @@ from __future__ import annotations
 import html.entities
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Generator, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import Column
+
 from ..functions.charsets import WHITE_CHARS
 from ..functions.languages import Language
 from .base import Stage
@@ -23,6 +25,7 @@ RULE = re.compile(r" {0,3}([-*_])(?:[ \t]*\1){2,}[ \t]*\Z")
 HEADING = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*\Z")
 FENCE = re.compile(r"( {0,3})(`{3,}|~{3,})([^\n]*)\Z")
 QUOTE = re.compile(r" {0,3}> ?")
+QUOTES = re.compile(r"(?: {0,3}> ?)+")
 ITEM = re.compile(r"( {0,3})([-+*]|[0-9]{1,9}[.)])([ \t]+|\Z)")
 UNDERLINE = re.compile(r" {0,3}(?:=+|-+)[ \t]*\Z")
 DELIMITERS = re.compile(r" {0,3}\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\Z")
@@ -38,6 +41,7 @@ ENTITY = re.compile(r"&(?:#([0-9]{1,7})|#[xX]([0-9a-fA-F]{1,6})|(\w+));", re.ASC
 LABEL = re.compile(r"\[((?:[^\[\]\\]|\\.)*)\]")
 TARGET = re.compile(r"""\([ \t\n]*(?:<(?:[^<>\n\\]|\\.)*>|(?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.|\([^\s()]*\))*\))*)(?:[ \t\n]+(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|\((?:[^()\\]|\\.)*\)))?[ \t\n]*\)""", re.S)
 MATH = re.compile(r"\$\$.+?\$\$|\$(?![\s$])(?:[^$\\]|\\.)*?(?<![\s\\])\$(?!\w)", re.S)
+Inner = tuple[list[str], bool]
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 # How blocks of HTML begin and end, by kind; the last two end at a blank line.
@@ -92,11 +96,17 @@ class _Document:
         for line in lines:
             if (m := DEFINITION.match(re.sub(r"^(?: {0,3}> ?)+", "", line))) and not m[1].startswith("^"):
                 self.references.add(_label(m[1]))
-        self.blocks([line.replace("\t", "    ") if line[: len(line) - len(line.lstrip())].count("\t") else line for line in lines])
+        # Blocks within blocks wait on a stack of their own, so depth is bounded by memory only.
+        open_ = [self.blocks([line.replace("\t", "    ") if line[: len(line) - len(line.lstrip())].count("\t") else line for line in lines])]
+        while open_:
+            if inner := next(open_[-1], None):
+                open_.append(self.blocks(*inner))
+            else:
+                open_.pop()
 
-    # Blocks
+    # Blocks. Those that hold others yield (lines, whether it is a list's item) to have them read before they go on.
 
-    def blocks(self, lines: list[str], item: bool = False) -> None:
+    def blocks(self, lines: list[str], item: bool = False) -> Iterator[Inner]:
         i = 0
         while i < len(lines):
             line = lines[i]
@@ -109,17 +119,17 @@ class _Document:
             elif m := HEADING.match(line):
                 self.leaf(m[1] or "")
                 i += 1
-            elif RULE.match(line):
+            elif self.is_rule(line):
                 self.out.put("\n")
                 i += 1
             elif QUOTE.match(line):
-                i = self.quote(lines, i)
+                i = yield from self.quote(lines, i)
             elif m := ITEM.match(line):
-                i = self.list_(lines, i, m)
+                i = yield from self.list_(lines, i, m)
             elif (kind := self.html_kind(line)) is not None:
                 i = self.html(lines, i, kind)
             elif m := NOTE.match(line):
-                i = self.note(lines, i, m)
+                i = yield from self.note(lines, i, m)
             elif self.is_table(lines, i):
                 i = self.table(lines, i)
             else:
@@ -158,7 +168,7 @@ class _Document:
         self.code([x[min(indent, len(x) - len(x.lstrip(" "))) :] for x in own])
         return j + 1
 
-    def quote(self, lines: list[str], i: int) -> int:
+    def quote(self, lines: list[str], i: int) -> Generator[Inner, None, int]:
         own: list[str] = []
         while i < len(lines):
             line = lines[i]
@@ -169,15 +179,23 @@ class _Document:
             else:
                 break
             i += 1
+        # Quotes directly within quotes say nothing of their own: the levels that all lines have go at once.
+        if deeper := min(m[0].count(">") if (m := QUOTES.match(line)) else 0 for line in own):
+            inner = re.compile(rf"(?: {{0,3}}> ?){{{deeper}}}")
+            own = [line[inner.match(line).end() :] for line in own]
         self.out.begin()
-        self.blocks(own)
+        yield own, False
         self.out.end()
         return i
 
-    def list_(self, lines: list[str], i: int, first: re.Match[str]) -> int:
+    @staticmethod
+    def is_rule(line: str) -> bool:
+        return line.rstrip()[-1:] in ("-", "*", "_") and bool(RULE.match(line))
+
+    def list_(self, lines: list[str], i: int, first: re.Match[str]) -> Generator[Inner, None, int]:
         kind = first[2][-1]
         self.out.begin()
-        while i < len(lines) and (m := ITEM.match(lines[i])) and m[2][-1] == kind and not RULE.match(lines[i]):
+        while i < len(lines) and (m := ITEM.match(lines[i])) and m[2][-1] == kind and not self.is_rule(lines[i]):
             gap = len(m[3]) if m[3] and len(m[3]) <= 4 else 1
             width = len(m[1]) + len(m[2]) + gap
             own = [lines[i][min(width, len(lines[i])) :]]
@@ -201,7 +219,7 @@ class _Document:
                 else:
                     break
             self.out.begin()
-            self.blocks(own, item=True)
+            yield own, True
             self.out.end()
             k = i
             while k < len(lines) and not lines[k].strip():
@@ -226,13 +244,13 @@ class _Document:
                 break
         return i
 
-    def note(self, lines: list[str], i: int, m: re.Match[str]) -> int:
+    def note(self, lines: list[str], i: int, m: re.Match[str]) -> Generator[Inner, None, int]:
         own = [lines[i][m.end() :]]
         i += 1
         while i < len(lines) and (lines[i].startswith("    ") or not lines[i].strip() or (own[-1].strip() and not self.interrupts(lines, i) and not NOTE.match(lines[i]))):
             own.append(lines[i][4:] if lines[i].startswith("    ") else lines[i])
             i += 1
-        self.blocks(own)
+        yield own, False
         return i
 
     @staticmethod
@@ -272,7 +290,7 @@ class _Document:
         item = m and m[3] and line[m.end() :].strip() and (not m[2][0].isdigit() or m[2][:-1].lstrip("0") == "1")
         fence = (f := FENCE.match(line)) and not (f[2][0] == "`" and "`" in f[3])
         html_ = (kind := self.html_kind(line)) is not None and kind < 6
-        return bool(fence or HEADING.match(line) or RULE.match(line) or QUOTE.match(line) or item or html_)
+        return bool(fence or HEADING.match(line) or self.is_rule(line) or QUOTE.match(line) or item or html_)
 
     def paragraph(self, lines: list[str], i: int, task: bool) -> int:
         own = [lines[i].lstrip(" \t")]
@@ -486,5 +504,8 @@ class StripMarkdown(Stage):
     def fusable(self) -> bool:
         return False
 
+    def gate(self, lang: Language) -> Callable[[Column], Column]:
+        return lambda col: col.rlike(SIGNS.pattern.replace(r"\Z", r"\z")) | col.contains("[") & col.contains("]") & col.contains("(")
+
     def python(self, lang: Language) -> Callable[[str], str]:
         return strip

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -18,6 +19,17 @@ LOOK = f"[{java(JOINERS)}]*+"
 SKIP = java(charsets.WHITE_SPACE, "\u200b" + JOINERS)
 
 
+#: Two characters of plain text, between which there is never a border.
+PLAIN = r"[ -~\n]"
+FOREIGN = f"(?!{PLAIN})[^{java(SCRIPTS['Western'])}{SKIP}]"
+
+
+def _inside(unigram: bool) -> str:
+    """Fails fast inside a run of one class, before any class is tried: plain text, or each script's largest block."""
+    blocks = [max((r for r in ranges if r[1] < 0x10000), key=lambda r: r[1] - r[0]) for name, ranges in SCRIPTS.items() if name != "Western" and not (unigram and name == "Cjk")]
+    return f"(?!{PLAIN}{{2}}|{'|'.join(f'[{java((r,))}]{{2}}' for r in blocks)})"
+
+
 @dataclass(frozen=True)
 class SegmentWords(Stage):
     """Inserts a space where the class of characters changes, as the language's rules allow, and a zero-width space
@@ -25,13 +37,18 @@ class SegmentWords(Stage):
 
     name = "segment_words"
 
+    def gate(self, lang: Language) -> Callable[[Column], Column]:
+        # A text all Western has no border.
+        return lambda col: col.rlike(FOREIGN)
+
     def apply(self, col: Column, lang: Language) -> Column:
         if not lang.segment_rules:
             return col
         kept = charsets.JOINED if lang.code == "HIN" else ""
         indic = java(charsets.INDIC)
+        some = java(((ord(min(charsets.VIRAMAS)), ord(max(charsets.VIRAMAS))),))
         # A match takes the character before a border, so that the next one may start right after it.
-        broken = f"([{java(charsets.VIRAMAS)}&&[{indic}]]{LOOK})(?=[{indic}&&[^{java(charsets.VIRAMAS + kept)}]])"
+        broken = f"(?=[{some}])([{java(charsets.VIRAMAS)}&&[{indic}]]{LOOK})(?=[{indic}&&[^{java(charsets.VIRAMAS + kept)}]])"
         into, out = SegmentRule.WESTERN_TO_SCRIPT in lang.segment_rules, SegmentRule.SCRIPT_TO_WESTERN in lang.segment_rules
         western = java(SCRIPTS["Western"])
         known = java(*SCRIPTS.values())
@@ -45,6 +62,5 @@ class SegmentWords(Stage):
         # Half of a surrogate pair is no character of its own.
         scripts = known if out else java(*[r for n, r in SCRIPTS.items() if n != "Western"])
         borders.append(f"[^{known}{SKIP}\\x{{d800}}-\\x{{dfff}}]{LOOK}(?=[{scripts}])")
-        done = F.regexp_replace(F.regexp_replace(col, broken, "$1\u200b"), f"((?:{'|'.join(borders)}))", "$1 ")
-        # A text all Western has no border: one quick look instead of a try at each character.
-        return F.when(col.rlike(f"[^{western}{SKIP}]"), done).otherwise(col)
+        done = F.regexp_replace(F.regexp_replace(col, broken, "$1\u200b"), f"{_inside(lang.unigram_cjk)}((?:{'|'.join(borders)}))", "$1 ")
+        return F.when(col.rlike(FOREIGN), done).otherwise(col)

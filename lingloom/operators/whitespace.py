@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
@@ -46,6 +47,10 @@ class NormalizeWhitespace(Stage):
             col = F.regexp_replace(col, space + "{2,}" + single, quoted)
         return col
 
+    def gate(self, lang: Language) -> Callable[[Column], Column]:
+        # Ends, runs, and single spaces of other kinds.
+        return lambda col: col.rlike(rf"\A{UNICODE}|{UNICODE}\z|{UNICODE}{{2}}|[{UNICODE}&&[^ \t\n\f\r]]")
+
     def apply(self, col: Column, lang: Language) -> Column:
         if not (self.collapse or self.trim):
             return col

@@ -6,6 +6,7 @@ Spark and in SQL: ``translate`` to full width, spaces and controls put in, words
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +14,11 @@ from pyspark.sql import functions as F
 
 from ..functions import charsets
 from ..functions.languages import Language, SegmentRule, all_languages, language
+from ..operators.html import BLOCKS, DROPPED
 from ..operators.whitespace import NormalizeWhitespace
 from ..sources.tables import languages, read
 from .pipeline import Pipeline, by_language
-from .presets import PRESETS, preset
+from .presets import BERT_MARKS, PRESETS, preset
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,7 +51,7 @@ def table_sql(expression: str, table: dict[str, str]) -> str:
 def _documents(name: str, pipeline: Pipeline, derive: Callable[[Column], Column] | None = None, sql: str | None = None) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.col("text") if derive is None else derive(F.col("text"))
-        return read(spark, sf_dir, "documents").select("doc_id", pipeline.col(text).alias("normalized"))
+        return pipeline.transform(read(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "text", "normalized").select("doc_id", "normalized")
 
     QUERIES[name] = query
     if sql is not None:
@@ -115,9 +117,8 @@ _foreign = r"[\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 _plain = r"[ \t\n\f\r]"
 
 
-def _space_sql(w: NormalizeWhitespace) -> str:
+def _space_sql(w: NormalizeWhitespace, sql: str = SPACED) -> str:
     space = _any if w.normalize_unicode else _plain
-    sql = SPACED
     if w.trim:
         sql = rf"regexp_replace({sql}, '\A{space}+|{space}+\z', '', 'g')"
     if w.collapse:
@@ -183,13 +184,28 @@ _documents("segment_eng", _one("segment_words"), _scripted, _scripted_sql())
 
 # Forms: composed and decomposed letters, ligatures and wide letters.
 _documents("nfc", _one("nfc"), lambda c: F.replace(F.replace(c, F.lit("e"), F.lit("é")), F.lit("o"), F.lit("ộ")), f"nfc_normalize(replace(replace(text, 'e', {lit('é')}), 'o', {lit('ộ')}))")
+
+
+def _decomposed(form: str) -> dict[str, str]:
+    """Full decompositions of the letters and signs that the texts, as they are or derived, can hold."""
+    blocks = [(0xA0, 0x17F), (0x2018, 0x2026), (0xFB00, 0xFB06), (0xFF01, 0xFF5E), (0x3000, 0x3000)]
+    return {chr(c): d for a, b in blocks for c in range(a, b + 1) if (d := unicodedata.normalize(form, chr(c))) != chr(c)}
+
+
+def _form_sql(form: str, expression: str) -> str:
+    if form == "nfkc":
+        return f"nfc_normalize({_form_sql('nfkd', expression)})"
+    return table_sql(expression, _decomposed(form.upper()))
+
+
+_wide_sql = f"replace(replace(text, 'fi', {lit('ﬁ')}), 'A', {lit('Ａ')})"
 for _form in ("nfd", "nfkc", "nfkd"):
-    _documents(_form, _one(_form), lambda c: F.replace(F.replace(c, F.lit("fi"), F.lit("ﬁ")), F.lit("A"), F.lit("Ａ")))
+    _documents(_form, _one(_form), lambda c: F.replace(F.replace(c, F.lit("fi"), F.lit("ﬁ")), F.lit("A"), F.lit("Ａ")), _form_sql(_form, _wide_sql))
 _documents("nfkc_ascii", _one("nfkc"), lambda c: F.translate(c, "".join(_wide.values())[:-1], "".join(_wide)[:-1]), "text")
 
 
 def strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", _one("strip_html").col("html").alias("normalized"))
+    return _one("strip_html").transform(read(spark, sf_dir, "pages").select("page_id", "html"), "html", "normalized").select("page_id", "normalized")
 
 
 def strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,15 +251,43 @@ def languages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def needs_apply_by_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that each stage alone would change."""
-    names = ("lowercase", "remove_diacritics", "normalize_punctuation", "normalize_whitespace_full", "strip_html", "strip_markdown", "nfc")
+    names = ("lowercase", "remove_diacritics", "normalize_punctuation", "normalize_whitespace_full", "strip_html", "nfc")
     pipelines = {n: _one(n, "FRA") for n in names}
     flags = read(spark, sf_dir, "documents").select(*[p.needs_apply("text").cast("int").alias(n) for n, p in pipelines.items()])
     return flags.agg(*[F.sum(n).alias(n) for n in names])
 
 
-for _query in (strip_html, strip_markdown, per_row_lang, needs_apply_rate, normalized_dedup, custom_stage, languages_table, needs_apply_by_stage):
+def needs_apply_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations that hold Markdown, by role."""
+    turns = read(spark, sf_dir, "conversations").select("role", _one("strip_markdown").needs_apply("text").cast("int").alias("n"))
+    return turns.groupBy("role").agg(F.count(F.lit(1)).alias("n_turns"), F.sum("n").alias("n_changed"))
+
+
+for _query in (strip_html, strip_markdown, per_row_lang, needs_apply_rate, normalized_dedup, custom_stage, languages_table, needs_apply_by_stage, needs_apply_markdown):
     QUERIES[_query.__name__] = _query
 
+
+def _html_sql(expression: str) -> str:
+    """Markup away, for texts without CDATA and without a closing bracket in an attribute.
+
+    Entities first, the ampersand last; what is dropped whole and tags that set nothing apart, in one scan; then the other
+    tags as marks, which give a space behind a character that is none."""
+    sql = expression
+    for name, char in {"lt": "<", "gt": ">", "quot": '"', "copy": "©", "middot": "·", "nbsp": "\xa0", "amp": "&"}.items():
+        sql = f"replace({sql}, '&{name};', {lit(char)})"
+    dropped = "|".join(rf"<{n}(?:[^a-z>][^>]*)?>.*?(?:</{n}(?:[ \t\n\r][^>]*)?>|\z)" for n in sorted(DROPPED))
+    blocks = rf"</?(?:{'|'.join(sorted(BLOCKS))})(?:[^a-z>][^>]*)?(?:>|\z)"
+    mark, space = lit("\x01"), _any
+    marked = f"regexp_replace(regexp_replace(decoded, '(?is)<!--.*?(?:-->|\\z)|{dropped}|({blocks})|<[^>]*(?:>|\\z)', '\\1', 'g'), '(?s)<[^>]*(?:>|\\z)', {mark}, 'g')"
+    spaced = rf"regexp_replace(regexp_replace({marked}, '(\A|{space})\x01+', '\1', 'g'), '\x01+', ' ', 'g')"
+    stripped = rf"regexp_replace({spaced}, '\A{space}+|{space}+\z', '', 'g')"
+    return f"(SELECT CASE WHEN contains(decoded, '<') THEN {stripped} ELSE decoded END FROM (SELECT {sql} AS decoded))"
+
+
+SQL["strip_html"] = f"SELECT page_id, {_html_sql('html')} AS normalized FROM pages"
+_own = {"lowercase": "lower(text)", "remove_diacritics": table_sql("text", dict.fromkeys(language("FRA").spacing_diacritics, "") | language("FRA").precomposed_to_base), "normalize_punctuation": table_sql("text", _signs), "normalize_whitespace_full": _space_sql(NormalizeWhitespace(), "text"), "strip_html": _html_sql("text"), "nfc": "nfc_normalize(text)"}
+SQL["needs_apply_by_stage"] = "SELECT " + ", ".join(f"sum((text <> {e})::INT)::BIGINT AS {n}" for n, e in _own.items()) + " FROM documents"
+
 _de, _fr, _es = (f"lower({table_sql('text', language(c).fold_map)})" for c in ("DEU", "FRA", "SPA"))
 SQL["per_row_lang"] = f"""SELECT doc_id, lang, CASE lang WHEN 'de' THEN {table_sql(_de, language("DEU").transliterate_map)}
   WHEN 'fr' THEN {table_sql(_fr, language("FRA").transliterate_map)} WHEN 'es' THEN {_es} ELSE lower(text) END AS normalized FROM documents"""
@@ -257,23 +301,35 @@ SQL["languages_table"] = "SELECT * FROM (VALUES " + ", ".join(
 ) + ") AS t(code, name, n_case, n_fold, n_transliterate, n_precomposed, n_spacing, n_rules, needs_segmentation, unigram_cjk)"
 
 
-def _preset(name: str) -> None:
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pipeline = preset(name, "FRA") if name in PRESETS else preset(name)
-        return read(spark, sf_dir, "documents").select("doc_id", pipeline.col("text").alias("normalized"))
+#: Stages of the presets in SQL, for French.
+_STAGES: dict[str, Callable[[str], str]] = {
+    "nfkc": lambda e: _form_sql("nfkc", e), "nfd": lambda e: _form_sql("nfd", e), "strip_html": _html_sql, "lowercase": lambda e: f"lower({e})", "segment_words": lambda e: e,
+    "remove_control_chars": lambda e: table_sql(e, dict.fromkeys(_controls, "")), "remove_format_controls": lambda e: table_sql(e, dict.fromkeys(_formats, "")),
+    "normalize_punctuation": lambda e: table_sql(e, _signs), "unify_width": lambda e: table_sql(e, _wide),
+    "normalize_whitespace_full": lambda e: _space_sql(NormalizeWhitespace(), e), "collapse_whitespace_unicode": lambda e: _space_sql(NormalizeWhitespace(trim=False), e),
+    "bert_compat_chinese_chars": lambda e: rf"regexp_replace({e}, '([{_re2(charsets.BERT_HAN)}])', ' \1 ', 'g')", "remove_diacritics": lambda e: table_sql(e, dict.fromkeys(BERT_MARKS, "")),
+}
 
-    QUERIES[f"preset_{name}"] = query
+
+def _preset(name: str) -> None:
+    pipeline = preset(name, "FRA") if name in PRESETS else preset(name)
+    names = [s.name for s in pipeline.stages] if name == "bert_like" else PRESETS[name]
+    sql: str | None = "text"
+    for n in ["collapse_whitespace_unicode" if n == "normalize_whitespace" else n for n in names]:
+        # Diacritics go with the marks of decomposed text alone, as in the BERT-like preset.
+        known = n in _STAGES and (n != "remove_diacritics" or name == "bert_like")
+        sql = _STAGES[n](sql) if known and sql is not None else None
+    _documents(f"preset_{name}", pipeline, None, sql)
 
 
 for _name in [*PRESETS, "bert_like"]:
     _preset(_name)
-SQL["preset_ascii_fast"] = rf"SELECT doc_id, regexp_replace(regexp_replace(text, '\A{_any}+|{_any}+\z', '', 'g'), '{_any}{{2,}}|{_foreign}', ' ', 'g') AS normalized FROM documents"
 
 
 def fused_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four character stages composed into one table, then white space: the flagship."""
     pipeline = Pipeline.from_names(["lowercase", "remove_diacritics", "normalize_punctuation", "unify_width", "normalize_whitespace_full"], "FRA")
-    return read(spark, sf_dir, "documents").select("doc_id", pipeline.col("text").alias("normalized"))
+    return pipeline.transform(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "normalized").select("doc_id", "normalized")
 
 
 QUERIES["fused_search"] = fused_search

@@ -7,6 +7,7 @@ images. A table becomes one ``translate``, preceded by a ``replace`` for each ch
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -53,8 +54,17 @@ def emit(col: Column, table: Table) -> Column:
     return F.when(is_ascii(col), quick).otherwise(_emit(col, table))
 
 
-def in_python(col: Column, functions: Sequence[Callable[[str], str]]) -> Column:
-    """The functions one after the other, in one round trip of Arrow batches."""
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once: however often the body names it, the plan holds it once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def in_python(col: Column, functions: Sequence[Callable[[str], str]], gates: Sequence[Callable[[Column], Column] | None] = ()) -> Column:
+    """The functions one after the other, in one round trip of Arrow batches.
+
+    If each has a gate, a native look that is false only where the function changes nothing, texts that pass none
+    stay behind: no function would change them, so neither do all of them.
+    """
     steps = list(functions)
 
     def run(texts: pa.Array) -> pa.Array:
@@ -67,4 +77,8 @@ def in_python(col: Column, functions: Sequence[Callable[[str], str]]) -> Column:
         return pa.array(out, pa.string())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "string")(col)
+    call = F.arrow_udf(run, "string")
+    if not gates or None in gates:
+        return call(col)
+    some = reduce(Column.__or__, [gate(col) for gate in gates])
+    return F.coalesce(call(F.when(some, col)), col)

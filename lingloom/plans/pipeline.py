@@ -12,7 +12,7 @@ from ..functions import languages
 from ..functions.languages import DEFAULT, Language
 from ..operators import chars, forms, html, markdown, segment, whitespace
 from ..operators.base import Stage, ValidationError
-from .compose import compose, emit, in_python, single_pass
+from .compose import bind, compose, emit, in_python, single_pass
 
 REGISTRY: dict[str, Stage] = {
     s.name: s
@@ -43,6 +43,21 @@ def register(own: Stage, name: str | None = None) -> Stage:
     return own
 
 
+@dataclass(frozen=True)
+class Step:
+    """An expression of a column; ``apply``'s second argument says whether it may name the column only once."""
+
+    python: bool
+    apply: Callable[[Column, bool], Column]
+
+    def of_bound(self, col: Column) -> Column:
+        return self.apply(col, False)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """Immutable; every method returns another pipeline. Without stages it is the identity."""
@@ -70,33 +85,53 @@ class Pipeline:
         """At least two stages, all of which are expressions or tables."""
         return len(self.stages) > 1 and all(s.fusable for s in self.stages)
 
-    def col(self, text: str | Column, fuse: bool = True) -> Column:
-        """The whole pipeline on a column. ``fuse=False`` applies one stage after the other; the result is the same."""
-        col = F.col(text) if isinstance(text, str) else text
+    def steps(self, fuse: bool = True) -> list[Step]:
+        """The pipeline as expressions to be applied in turn: stages that compose are one step."""
         if not fuse:
-            for s in self.stages:
-                col = s.column(col, self.language)
-            return col
+            return [Step(s.python(self.language) is not None, lambda col, once, s=s: s.column(col, self.language, gated=not once)) for s in self.stages]
+        out: list[Step] = []
         table: dict[str, str] = {}
-        functions: list[Callable[[str], str]] = []
+        functions: list[tuple[Callable[[str], str], Callable[[Column], Column] | None]] = []
+
+        def flush() -> None:
+            if table:
+                out.append(Step(False, lambda col, once, t=dict(table): emit(col, t)))
+                table.clear()
+            if functions:
+                calls, gates = zip(*functions, strict=True)
+                out.append(Step(True, lambda col, once: in_python(col, calls, () if once else gates)))
+                functions.clear()
+
         for s in self.stages:
             own, function = s.mapping(self.language), s.python(self.language)
-            if own is None and table:
-                col, table = emit(col, table), {}
-            if function is None and functions:
-                col, functions = in_python(col, functions), []
             if own is not None:
                 joined = compose(table, own)
-                if table and not single_pass(joined):
-                    col, joined = emit(col, table), own
-                table = joined
+                if functions or table and not single_pass(joined):
+                    flush()
+                    joined = own
+                table = dict(joined)
             elif function is not None:
-                functions.append(function)
+                if table:
+                    flush()
+                functions.append((function, s.gate(self.language)))
             else:
-                col = s.apply(col, self.language)
-        if table:
-            col = emit(col, table)
-        return in_python(col, functions) if functions else col
+                flush()
+                out.append(Step(False, lambda col, once, s=s: s.apply(col, self.language)))
+        flush()
+        return out
+
+    def col(self, text: str | Column, fuse: bool = True) -> Column:
+        """The whole pipeline on a column. ``fuse=False`` applies one stage after the other; the result is the same.
+
+        A step names its input several times, so from the second step on the input is bound: the expression grows with
+        the stages, not with their power.
+        """
+        col, plain = (F.col(text), True) if isinstance(text, str) else (text, False)
+        for step in self.steps(fuse):
+            # A call of Python can't be inside a bound expression, but it may be what is bound.
+            col = step.apply(col, not plain) if plain or step.python else bind(col, step.of_bound)
+            plain = False
+        return col
 
     def needs_apply(self, text: str | Column) -> Column:
         """Whether any stage would change the text as it is."""
@@ -107,8 +142,17 @@ class Pipeline:
         return needed
 
     def transform(self, df: DataFrame, text: str = "text", out: str | None = None) -> DataFrame:
-        """``df`` with the normalized text in ``out`` (or in place); batch and streaming frames alike."""
-        return df.withColumn(out or text, self.col(text))
+        """``df`` with the normalized text in ``out`` (or in place); batch and streaming frames alike.
+
+        Each step is a projection of its own, which Spark keeps apart where the next one needs its result several times, so
+        that all of it is compiled.
+        """
+        out, steps = out or text, self.steps()
+        if not steps:
+            return df.withColumn(out, F.col(_quoted(text)))
+        for step in steps:
+            df, text = df.withColumn(out, step.apply(F.col(_quoted(text)), False)), out
+        return df
 
 
 def by_language(pipeline: Pipeline, text: str, lang: str, codes: Iterable[str], otherwise: str = DEFAULT) -> Column:
