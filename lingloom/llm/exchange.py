@@ -33,8 +33,8 @@ class Layout:
     """How many groups and buckets an input of so many bytes gets.
 
     A group sends at most 2 ** ``direct`` blobs, so blobs grow with the groups and not with their square. ``bits`` beyond
-    that are settled by relays: one for each range of buckets and each 2 ** ``more`` groups. A relay merges what these groups
-    send for its range, counts it as one, and sends it on to the buckets of its range.
+    that are settled by relays: one for each range of buckets and each 2 ** ``direct`` groups, so as many as there are groups.
+    A relay merges what these groups send for its range, counts it as one, and sends it on to the 2 ** ``more`` buckets there.
     """
 
     def __init__(self, size: int) -> None:
@@ -50,7 +50,7 @@ class Layout:
 
     def relay(self) -> Column:
         """The relay of a piece of mail."""
-        return (F.floor(F.col("g") / (1 << self.more)) * (1 << self.direct) + F.col("bucket")).cast("int")
+        return F.shiftleft(F.shiftright("g", self.direct), self.direct) + F.col("bucket")
 
 
 def group_of(layout: Layout) -> Column:
