@@ -119,4 +119,5 @@ class PadHan(Stage):
     def apply(self, col: Column, lang: Language) -> Column:
         from pyspark.sql import functions as F
 
-        return F.regexp_replace(col, f"([{charsets.java(charsets.BERT_HAN)}])", " $1 ")
+        first = min(a for a, _ in charsets.BERT_HAN)  # below it one look is enough
+        return F.regexp_replace(col, f"(?![\\x00-\\x{{{first - 1:x}}}])([{charsets.java(charsets.BERT_HAN)}])", " $1 ")

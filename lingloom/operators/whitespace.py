@@ -13,6 +13,8 @@ from .base import Stage, ValidationError, is_ascii
 
 UNICODE = r"\p{IsWhite_Space}"
 ASCII = r"[ \t\n\f\r]"
+#: Fails at visible ASCII characters before any class is tried.
+QUICK = "(?![!-~])"
 #: In text that is all ASCII, the vertical tab counts in either mode.
 ASCII_ONLY = r"[ \t\n\x0B\f\r]"
 
@@ -41,15 +43,15 @@ class NormalizeWhitespace(Stage):
 
     def _form(self, col: Column, space: str, single: str) -> Column:
         if self.trim:
-            col = F.regexp_replace(col, rf"\A{space}+|{space}+\z", "")
+            col = F.regexp_replace(col, rf"{QUICK}(?:\A{space}+|{space}+\z)", "")
         if self.collapse:
             quoted = "\\" + self.replacement if self.replacement in "\\$" else self.replacement
-            col = F.regexp_replace(col, space + "{2,}" + single, quoted)
+            col = F.regexp_replace(col, f"{QUICK}(?:{space}{{2,}}{single})", quoted)
         return col
 
     def gate(self, lang: Language) -> Callable[[Column], Column]:
         # Ends, runs, and single spaces of other kinds.
-        return lambda col: col.rlike(rf"\A{UNICODE}|{UNICODE}\z|{UNICODE}{{2}}|[{UNICODE}&&[^ \t\n\f\r]]")
+        return lambda col: col.rlike(rf"{QUICK}(?:\A{UNICODE}|{UNICODE}\z|{UNICODE}{{2}}|[{UNICODE}&&[^ \t\n\f\r]])")
 
     def apply(self, col: Column, lang: Language) -> Column:
         if not (self.collapse or self.trim):
