@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -181,10 +181,13 @@ class Windows:
         return Windows(self.kind, self.n, self.at[some], self.hash[some])
 
 
-def found_windows(t: Tokens, lengths: list[tuple[int, int]]) -> Iterator[Windows]:
-    """The windows of each (kind, length), each place and hash once."""
+def found_windows(t: Tokens, lengths: list[tuple[int, int]], wanted: Callable[[np.ndarray], np.ndarray] | None = None) -> Iterator[Windows]:
+    """The windows of each (kind, length) whose hashes are wanted, each place and hash once."""
     for kind, n in lengths:
-        at, h = t.exact(n) if kind == EXACT else (np.concatenate(x) for x in zip(*(t.windows(n) or [(np.zeros(0, np.int64), np.zeros(0, U64))]), strict=True))
+        parts = [t.exact(n)] if kind == EXACT else t.windows(n)
+        if wanted is not None:
+            parts = [(at[ok], h[ok]) for at, h in parts for ok in [wanted(h)]]
+        at, h = (np.concatenate(x) for x in zip(*(parts or [(np.zeros(0, np.int64), np.zeros(0, U64))]), strict=True))
         order = np.lexsort((h, at))
         at, h = at[order], h[order]
         new = np.ones(len(at), bool)
@@ -285,8 +288,10 @@ class Index:
         """(document, item, matched tokens, whether a slot's value differs)."""
         t, own = Tokens(data, offsets), self.items.tokens
         by: dict[tuple[int, int], list[Hit]] = defaultdict(list)
-        for keys, w in zip(self.windows, found_windows(t, [(w.kind, w.n) for w in self.windows]), strict=True):
-            w = once_each(w.take(np.isin(w.hash, keys.hash)), t)
+        every = np.unique(np.concatenate([w.hash for w in self.windows])) if self.windows else np.zeros(0, U64)
+        wanted = lambda h: every[np.minimum(np.searchsorted(every, h), len(every) - 1)] == h if len(every) else np.zeros(len(h), bool)
+        for keys, w in zip(self.windows, found_windows(t, [(w.kind, w.n) for w in self.windows], wanted), strict=True):
+            w = once_each(w, t)
             low, high = np.searchsorted(keys.hash, w.hash, "left"), np.searchsorted(keys.hash, w.hash, "right")
             for token, a, b in zip(w.at.tolist(), low.tolist(), high.tolist(), strict=True):
                 for j in keys.at[a:b].tolist():
@@ -368,12 +373,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = bits.value
         shift = U64(64 - (len(known).bit_length() + 2))
+
+        def wanted(h: np.ndarray) -> np.ndarray:
+            slot = (h >> shift).astype(np.int64)
+            return (known[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+
         for part, data, offsets in chunks(batch):
             t = Tokens(data, offsets)
             first = np.searchsorted(t.doc, np.arange(part.num_rows + 1))
-            for w in found_windows(t, lengths):
-                slot = (w.hash >> shift).astype(np.int64)
-                w = once_each(w.take((known[slot >> 3] >> (7 - (slot & 7))) & 1 == 1), t)
+            for w in found_windows(t, lengths, wanted):
+                w = once_each(w, t)
                 doc = t.doc[w.at]
                 columns = {c: part.column(c).take(pa.array(doc)) for c in ("key", "doc_id")} | {"token": pa.array(w.at - first[doc])}
                 yield pa.RecordBatch.from_pydict(columns | _columns(w, t))
