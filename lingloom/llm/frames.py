@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..sources.tables import read as read
 
@@ -59,3 +62,14 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, of: int
     )
     found = id_text(docs).join(F.broadcast(known), "doc_id")
     return found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "y")
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What ``fit`` makes of a bounded sample, computed by one task of an executor; only the model comes to the driver."""
+    schema = to_arrow_schema(sample.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [batch.cast(schema) for batch in batches]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(rows, schema)))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])

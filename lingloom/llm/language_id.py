@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import fold, id_text, in_arrow
+from .frames import fitted, fold, id_text, in_arrow
 from .textbuf import chunks
 
 LIMIT, DIM, BLOCK = 2_000, 1 << 13, 64
@@ -192,8 +192,13 @@ def train(docs: DataFrame, limit: int = LIMIT) -> Model | None:
     amounts = docs.sparkSession.createDataFrame(list(wanted.items()), "lang_ string, wanted_ int")
     # The sample holds little more than ``limit`` rows, so the ranks are of few.
     ranked = grams.withColumn("rank_", F.row_number().over(of_label)).join(F.broadcast(amounts), F.col("lang") == F.col("lang_"))
-    got = ranked.where(F.col("rank_") <= F.col("wanted_")).select("doc_id", "lang", "i", "n").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
-    return fit([(np.array(i), np.array(n, float), y) for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["lang"].to_pylist(), strict=True)], *frequencies(known))
+    df, total = frequencies(known)
+
+    def learn(got: pa.Table) -> Model | None:
+        got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+        return fit([(np.array(i), np.array(n, float), y) for i, n, y in zip(got["i"].to_pylist(), got["n"].to_pylist(), got["lang"].to_pylist(), strict=True)], df, total)
+
+    return fitted(ranked.where(F.col("rank_") <= F.col("wanted_")).select("doc_id", "lang", "i", "n"), learn)
 
 
 def frequencies(known: DataFrame) -> tuple[np.ndarray, int]:

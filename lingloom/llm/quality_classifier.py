@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, id_text, in_arrow, labelled
+from .frames import fitted, fold, id_text, in_arrow, labelled
 from .textbuf import SPACE, U64, Hashes, byte_set, chunks, mix64, per_doc, spans, words
 
 LIMIT = 20_000
@@ -112,9 +112,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int
             x = features(data, offsets)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = in_arrow(labelled(docs, labels, label, limit), rows, "doc_id long, y int, x array<double>").toArrow().sort_by("doc_id")
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, N_FEATURES)
-    return fit(x, got["y"].to_numpy().astype(int))
+    def learn(got: pa.Table) -> Discriminant | float:
+        got = got.sort_by("doc_id")
+        return fit(np.array(got["x"].to_pylist(), float).reshape(-1, N_FEATURES), got["y"].to_numpy().astype(int))
+
+    return fitted(in_arrow(labelled(docs, labels, label, limit), rows, "doc_id long, y int, x array<double>"), learn)
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = LIMIT, threshold: float = 0.3) -> DataFrame:

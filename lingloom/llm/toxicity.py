@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import fold, id_text, in_arrow, labelled
+from .frames import fitted, fold, id_text, in_arrow, labelled
 from .textbuf import U64, Hashes, byte_set, chunks, lower_table, mix64, words
 
 LIMIT, SENTENCES, SENTENCE_BYTES, TEXT_BYTES = 4_000, 64, 2_000, 32_000
@@ -579,8 +579,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", limit: int =
             texts.append(b"".join(parts)[:TEXT_BYTES])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(texts, pa.binary())], ["doc_id", "y", "text"])
 
-    got = in_arrow(labelled(docs, labels, label, limit), rows, "doc_id long, y int, text binary").toArrow().sort_by("doc_id")
-    return fit(got["text"].to_pylist(), got["y"].to_pylist())
+    def learn(got: pa.Table) -> Model | float:
+        got = got.sort_by("doc_id")
+        return fit(got["text"].to_pylist(), got["y"].to_pylist())
+
+    return fitted(in_arrow(labelled(docs, labels, label, limit), rows, "doc_id long, y int, text binary"), learn)
 
 
 def _scores(model: Model | float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
