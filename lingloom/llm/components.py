@@ -11,13 +11,13 @@ from .store import stored
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")  # as many as links, some twice
+    return both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")  # as many as links, some twice
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+    moved = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -25,7 +25,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node with a link; a component is named by its smallest node.
 
     Links are pairs of longs; a null end or a link of a node with itself says nothing. Minima are combined before the
-    shuffle and joined back, so a node with very many links needs no task of its own. Each round is stored.
+    shuffle and joined back, so a node with very many links needs no task of its own. Each round is stored. The joins of the
+    rounds are merges at any size: a broadcast would have the driver gather a table in each round.
     """
     edges = stored(links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a <> b").distinct())
     state = None

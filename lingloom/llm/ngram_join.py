@@ -215,10 +215,10 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     Each pair's sets are laid side by side by two shuffles; a popular document's set is sent to where its pairs are.
     """
     light = nodes.select("node", "n", "size", "parity")
-    sizes = pairs.join(light.toDF("a", "n_a", "s_a", "p_a"), "a").join(light.toDF("b", "n_b", "s_b", "p_b"), "b")
+    sizes = pairs.join(light.toDF("a", "n_a", "s_a", "p_a").hint("merge"), "a").join(light.toDF("b", "n_b", "s_b", "p_b").hint("merge"), "b")
     passed = sizes.where(length("n_a", "n_b") & alike("s_a", "p_a", "n_a", "s_b", "p_b", "n_b")).select("a", "b", "n_a", "n_b").distinct()
     whole = nodes.select("node", "shingles")
-    side = passed.join(whole.toDF("a", "s_a"), "a").join(whole.toDF("b", "s_b"), "b")
+    side = passed.join(whole.toDF("a", "s_a").hint("merge"), "a").join(whole.toDF("b", "s_b").hint("merge"), "b")
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         shared = []
@@ -235,14 +235,14 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _by_shingle(many: DataFrame, few: DataFrame, how: str = "inner") -> DataFrame:
+def _by_shingle(many: DataFrame, few: DataFrame) -> DataFrame:
     """A join on ``h`` in which the left rows of a hot shingle are dealt over SALTS parts and the right ones go to each.
 
     ``hot`` says on both sides whether the shingle is; the result has the left one's.
     """
     parts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = many.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).otherwise(0))
-    return left.join(few.withColumn("salt", F.explode(parts)).drop("hot"), ["h", "salt"], how).drop("salt")
+    return left.join(few.withColumn("salt", F.explode(parts)).drop("hot").hint("merge"), ["h", "salt"]).drop("salt")
 
 
 def links(nodes: DataFrame) -> DataFrame:
