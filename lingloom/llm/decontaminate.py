@@ -9,7 +9,7 @@ value of the item always stands for the same value of the document (different on
 else only windows without any change count. An item is found if its matched tokens number ``ENOUGH``, or half of the item if
 that is less, so re-parameterised copies count.
 
-Documents are scanned once. A bit for each window hash of the benchmark, in ``BLOCK`` bytes at most, tells which of a
+Documents are scanned once. Two bits for each window hash of the benchmark, in ``BLOCK`` bytes at most, tell which of a
 document's windows can match at all; these go to the join with their tokens, dealt over SALTS parts, so that a window that
 very many documents share has no task of its own. False positives of the bits find no partner there. What a (document,
 item) pair has in common is then verified. Neither the benchmark nor documents are ever gathered in one place.
@@ -339,18 +339,19 @@ def _benchmark(benchmark: DataFrame) -> DataFrame:
 
 
 def _bits(windows: DataFrame, limit: int) -> np.ndarray:
-    """A bit for each hash by its upper bits, 16 for a window but ``limit`` bytes at most; blocks of it are made by the executors."""
+    """Two bits for each hash, by its upper and by its lower part, among 128 for a window but ``limit`` bytes at most; blocks
+    of them are made by the executors."""
     many = windows.count()
-    bits = min(max(13, (16 * max(many, 1)).bit_length()), max(13, (8 * limit).bit_length() - 1))
+    bits = min(max(13, (128 * max(many, 1)).bit_length()), max(13, (8 * limit).bit_length() - 1))
     block = min(bits, 16)
-    slot = F.shiftrightunsigned("h", 64 - bits)
+    slot = F.explode(F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND((1 << bits) - 1)))
 
     def one(table: pa.Table) -> pa.Table:
         mask = np.zeros(1 << block, bool)
         mask[table.column("slot").to_numpy() & ((1 << block) - 1)] = True
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(mask).tobytes()], pa.binary())})
 
-    slots = windows.select(F.shiftright(slot, block).alias("block"), slot.alias("slot")).distinct()
+    slots = windows.select(slot.alias("slot")).select(F.shiftright("slot", block).alias("block"), "slot").distinct()
     got = slots.groupBy("block").applyInArrow(one, "block long, bits binary").toArrow()  # ``limit`` bytes at most
     out = np.zeros((1 << (bits - block), 1 << (block - 3)), np.uint8)
     for k, blob in zip(got["block"].to_pylist(), got["bits"].to_pylist(), strict=True):
@@ -358,6 +359,10 @@ def _bits(windows: DataFrame, limit: int) -> np.ndarray:
     return out.ravel()
 
 
+def _set(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (bits[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+
+
 def _key() -> Column:
     """128 bits of a document's id and text."""
     return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary")))
@@ -372,11 +377,13 @@ def _found(docs: DataFrame, benchmark: DataFrame, limit: int) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         known = bits.value
-        shift = U64(64 - (len(known).bit_length() + 2))
+        size = len(known).bit_length() + 2
 
         def wanted(h: np.ndarray) -> np.ndarray:
-            slot = (h >> shift).astype(np.int64)
-            return (known[slot >> 3] >> (7 - (slot & 7))) & 1 == 1
+            maybe = np.flatnonzero(_set(known, (h >> U64(64 - size)).astype(np.int64)))
+            out = np.zeros(len(h), bool)
+            out[maybe] = _set(known, (h[maybe] & U64((1 << size) - 1)).astype(np.int64))
+            return out
 
         for part, data, offsets in chunks(batch):
             t = Tokens(data, offsets)
