@@ -172,17 +172,16 @@ def covered(data: np.ndarray, start: np.ndarray, last: np.ndarray, anchor: np.nd
     stretch = np.repeat(np.arange(len(start)), size)
     shift = np.arange(len(stretch)) - np.repeat(np.cumsum(size) - size, size)
     at, offset = start[stretch] + shift, place[stretch] + shift
-    order = np.lexsort((offset, anchor[stretch]))
-    at, stretch = at[order], stretch[order]
-    a, o = anchor[stretch], offset[order]
-    edge = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (o[1:] != o[:-1])])) if len(a) else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, len(at)))
-    of = np.repeat(np.arange(len(edge)), count)
-    some = np.flatnonzero(count[of] > 1) if len(of) else of
+    # Equal windows have equal hashes, anchors and offsets: what has no partner in all three needs no sorting.
+    _, number, times = np.unique(mix64(text.hashes.of(at, at + LENGTH)) + mix64(anchor[stretch] + offset.astype(U64)), return_inverse=True, return_counts=True)
+    some = np.flatnonzero(times[number] > 1)
     if not len(some):
         return some, some, some
+    some = some[np.lexsort((offset[some], anchor[stretch[some]]))]
+    at, stretch, offset = at[some], stretch[some], offset[some]
+    a = anchor[stretch]
+    of = np.cumsum(np.concatenate([[True], (a[1:] != a[:-1]) | (offset[1:] != offset[:-1])])) - 1
     # Sort numbers of suffixes by way of their places: the place tells the suffix.
-    at, stretch, of = at[some], stretch[some], of[some]
     edge = np.flatnonzero(np.diff(of, prepend=-1))
     count = np.diff(np.append(edge, len(at)))
     owner = stretch[np.argsort(at, kind="stable")]
@@ -264,6 +263,7 @@ class Letters:
 
     head: np.ndarray  # the five as rows
     text: np.ndarray
+    start: np.ndarray  # in text
 
     @classmethod
     def read(cls, blobs: list[bytes]) -> Letters:
@@ -273,16 +273,14 @@ class Letters:
             raw = np.frombuffer(zstandard.decompress(blob[4:]), np.uint8)
             heads.append(np.ascontiguousarray(raw[: 40 * n].reshape(5, 8, n).transpose(0, 2, 1)).view("<i8").reshape(5, n))
             texts.append(raw[40 * n :])
-        return cls(np.concatenate(heads, 1), np.concatenate(texts))
-
-    @property
-    def start(self) -> np.ndarray:
-        return np.cumsum(self.head[3]) - self.head[3]
+        head = np.concatenate(heads, 1)
+        return cls(head, np.concatenate(texts), np.cumsum(head[3]) - head[3])
 
     def take(self, some: np.ndarray) -> Letters:
+        """Some of them, with only their bytes, end to end."""
         size = self.head[3][some]
-        at = np.repeat(self.start[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return Letters(self.head[:, some], self.text[at])
+        start = np.cumsum(size) - size
+        return Letters(self.head[:, some], self.text[np.repeat(self.start[some] - start, size) + np.arange(size.sum())], start)
 
     def mail(self, g: int, bits: int) -> pa.Table:
         """By bucket, one blob each, its anchors in order."""
@@ -313,8 +311,7 @@ def _letters(group: Group, g: int, some: np.ndarray, layout: Layout) -> pa.Table
     """The group's stretches by bucket."""
     s = group.s
     size = s.last[some] - s.start[some] + LENGTH
-    at = np.repeat(s.start[some] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return Letters(np.stack([s.anchor[some].view(np.int64), s.ids[some], s.start[some], size, np.full(len(some), g)]), group.data[at]).mail(g, layout.direct)
+    return Letters(np.stack([s.anchor[some].view(np.int64), s.ids[some], s.start[some], size, np.full(len(some), g)]), group.data, s.start[some]).mail(g, layout.direct)
 
 
 def _runs(g: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[bytes]]:

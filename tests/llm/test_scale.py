@@ -27,7 +27,7 @@ def boilerplate(n: int, seed: int, words: int = 14):
     return rows
 
 
-@pytest.mark.parametrize("many", [2, 4, 64])
+@pytest.mark.parametrize("many", [3, 64])
 def test_hot_shingles(corpus, many):
     rows = boilerplate(120, many) + [(1000 + i, f"{t} tail") for i, (_, t) in enumerate(boilerplate(30, 9))] + [(d + 5000, t) for d, t in chains(many)]
     assert collect(ngram_join.join(corpus(rows), many)) == brute_join(rows)
