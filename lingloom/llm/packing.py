@@ -4,7 +4,8 @@ Every document is tokenized and cut into pieces of at most ``size`` ids. Only th
 driver: at most ``size`` numbers, whatever the corpus. Lengths are placed longest first, each into the packs that are
 shortest so far; packs are kept as counted patterns, so a step moves many packs at once. The patterns then come back to
 the pieces by rank: piece number r of a length belongs to the pattern slot whose range of ranks holds r. Ranks are
-numbered within hash buckets and shifted by the buckets' running totals, so no length is numbered in one task.
+numbered within hash buckets and shifted by the buckets' running totals, so no length is numbered in one task. Only as
+many parts as there are buckets get rows, however many partitions a shuffle has.
 
 Null text is the empty text (one closing id). Rows are packed as they are: repeated rows give pieces of their own; a null
 doc_id is kept; an empty table gives an empty result.
@@ -101,19 +102,30 @@ def pack(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFram
     place = slots(patterns(histogram, size))
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
     totals = bucketed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = totals.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    own = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
-    ranked = bucketed.withColumn("rank", F.row_number().over(own)).join(before, ["length", "bucket"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") - 1 + F.col("before")).alias("rank"))
-
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
-        sequence, offset = np.empty_like(rank), np.empty_like(rank)
-        order = np.argsort(length, kind="stable")
-        edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
-        for a, b in zip(edges, edges[1:], strict=False):
-            at, table = order[a:b], place[int(length[order[a]])]
-            row = table[np.searchsorted(table[:, 0], rank[at], "right") - 1]
-            sequence[at], offset[at] = row[:, 1] + rank[at] - row[:, 0], row[:, 2]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return in_arrow(ranked, rows, PIECES + ", sequence_id long, offset long")
+    heads = totals.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    # A head stands before a bucket's pieces of a length, so one sort, which may spill, takes the place of a window and a join.
+    mixed = bucketed.withColumn("before", F.lit(None).cast("long")).unionByName(heads, allowMissingColumns=True)
+    ordered = mixed.repartition(buckets, "bucket").sortWithinPartitions("bucket", "length", F.col("before").asc_nulls_last(), "doc_id", "start", "ids_crc32", "doc_tokens")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = 0  # the next row's rank, if that row isn't a head
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before = batch.column("before")
+            head, row = before.is_valid().to_numpy(zero_copy_only=False), np.arange(batch.num_rows)
+            last = np.maximum.accumulate(np.where(head, row, -1))
+            rank = np.where(last < 0, following + row, before.fill_null(0).to_numpy()[last] + row - last - 1)
+            following = int(rank[-1]) + 1
+            batch, rank = batch.filter(pa.array(~head)), rank[~head]
+            length = batch.column("length").to_numpy()
+            sequence, offset = np.empty_like(rank), np.empty_like(rank)
+            order = np.argsort(length, kind="stable")
+            edges = np.flatnonzero(np.diff(length[order], prepend=-1, append=-1))
+            for a, b in zip(edges, edges[1:], strict=False):
+                at, table = order[a:b], place[int(length[order[a]])]
+                row = table[np.searchsorted(table[:, 0], rank[at], "right") - 1]
+                sequence[at], offset[at] = row[:, 1] + rank[at] - row[:, 0], row[:, 2]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
+
+    return ordered.mapInArrow(rows, PIECES + ", sequence_id long, offset long")

@@ -69,6 +69,31 @@ def test_wide_tables(corpus, odd_rows):
     assert packing.pack(docs).select("doc_id").distinct().count() == len({d for d, _ in odd_rows})
 
 
+def test_packing_parts(corpus, tmp_path):
+    """Parts with rows, and so files, follow the buckets and not the shuffle's partitions; ranks go on from batch to batch."""
+    rows = [(i % 590, "w " * (i % 97)) for i in range(600)]
+    docs = corpus(rows)
+    conf = docs.sparkSession.conf
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {k: conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            conf.set(k, v)
+        packing.pack(docs).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
+    assert len(list((tmp_path / "out").glob("part-*"))) <= 16
+    got = docs.sparkSession.read.parquet(str(tmp_path / "out")).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(d for d, _ in rows)
+    at = Counter()
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == at[r["sequence_id"]]
+        at[r["sequence_id"]] += r["length"]
+    assert sorted(at) == list(range(len(at))) and max(at.values()) <= 2048
+    assert sum(at.values()) == sum(len(encoder(None).text_ids(t)) + 1 for _, t in rows)
+
+
 def thue_morse(n: int) -> list[int]:
     return [bin(i).count("1") & 1 for i in range(n)]
 
