@@ -37,7 +37,7 @@ from . import exchange
 from .components import components
 from .exchange import Layout, grouped, layout_of
 from .frames import id_text, in_arrow, private
-from .store import stored
+from .store import gathered
 from .textbuf import U64, chunks, lower_table, mix64, span_hashes, words
 
 WORDS, PERCENT = 5, 80
@@ -255,8 +255,8 @@ def links(nodes: DataFrame) -> DataFrame:
     stars = _by_shingle(heads, center).where("node <> x").where(near("pos", "rest", "n", "q", "t", "m"))
     # Of its shingles' central members a document meets the most central one and another.
     met = stars.groupBy("node").agg(F.min(F.struct("o", "m", "x")).alias("u"), F.min(F.struct(F.xxhash64("x"), "x")).alias("v"))
-    tried = stored(met.select("node", F.explode(F.array("u.x", "v.x")).alias("x")).select(*_pair("node", "x")).distinct())
-    linked = stored(verified(tried, nodes))
+    tried = gathered(met.select("node", F.explode(F.array("u.x", "v.x")).alias("x")).select(*_pair("node", "x")).distinct())
+    linked = gathered(verified(tried, nodes))
 
     for k in range(ROUNDS):
         rest = _open(heads, linked)
@@ -269,10 +269,10 @@ def links(nodes: DataFrame) -> DataFrame:
         meet = _by_shingle(rest.where("c <> top"), chosen).select("node", "n", "pos", "rest", "c", F.explode(F.array("u", "v")).alias("w"))
         meet = meet.select("node", "n", "pos", "rest", "c", F.col("w.node").alias("x"), F.col("w.n").alias("m"), F.col("w.pos").alias("q"), F.col("w.rest").alias("t"), F.col("w.c").alias("d"))
         one = meet.where(F.col("c") != F.col("d")).where(near("pos", "rest", "n", "q", "t", "m")).groupBy("node", "d").agg(F.min(F.struct(F.xxhash64("x", "node"), "x")).alias("w"))
-        pairs = stored(one.select(*_pair("node", "w.x")).distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = gathered(one.select(*_pair("node", "w.x")).distinct().join(tried, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             break
-        tried, linked = tried.unionAll(pairs), stored(linked.unionAll(verified(pairs, nodes)))
+        tried, linked = tried.unionAll(pairs), gathered(linked.unionAll(verified(pairs, nodes)))
 
     rest = _open(heads, linked).join(nodes.select("node", "size", "parity"), "node")
     outside = rest.where("c <> top").select("h", "hot", *[F.col(a).alias(b) for a, b in zip(("node", "n", "pos", "rest", "c", "size", "parity"), ("x", "m", "q", "t", "d", "other", "y"), strict=True)])
@@ -291,23 +291,23 @@ def _open(heads: DataFrame, linked: DataFrame) -> DataFrame:
     named = heads.join(label, "node", "left").select("node", "n", "hot", "h", "pos", "rest", F.coalesce("component", "node").alias("c"))
     sizes = named.groupBy("h", "hot", "c").agg(F.count(F.lit(1)).alias("size"))
     several = sizes.groupBy("h", "hot").agg(F.max(F.struct("size", "c")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("h", "hot", F.col("top.c").alias("top"))
-    return stored(_by_shingle(named, several))
+    return gathered(_by_shingle(named, several))
 
 
 def _closed(docs: DataFrame, many: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Of every row (doc_id, digest, n_shingles, f1, f2); of each class of equal sets its smallest document (rep); links
     (a, b) of nodes that, closed, give the components of classes; and the nodes' (node, doc_id, f1, f2)."""
     layout = layout_of(docs)
-    own = stored(sets(docs, layout))
+    own = gathered(sets(docs, layout))
     classes = own.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "g")).alias("r"))
-    reps = stored(classes.select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.g").alias("g")))
+    reps = gathered(classes.select("f1", "f2", "n_shingles", F.col("r.doc_id").alias("rep"), F.col("r.g").alias("g")))
     # A class is a number from here on, a hot node one below zero; numbers are stored, so all readers see the same.
-    base = stored(candidates(docs, reps.select("g", F.col("rep").alias("doc_id")), layout, many).withColumn("node", F.monotonically_increasing_id()))
+    base = gathered(candidates(docs, reps.select("g", F.col("rep").alias("doc_id")), layout, many).withColumn("node", F.monotonically_increasing_id()))
     cold = base.where(F.size("head") > 0).select("node", "n", "size", "head", "parity", "shingles")
     hot = base.where("hot IS NOT NULL")
     leads = hot.groupBy("h1", "h2", "hot_size", "n").agg(F.min("node").alias("lead"))
     first = leads.select(F.col("lead").alias("node")).join(hot, "node").select(F.expr("-1 - node").alias("node"), "n", F.col("hot_size").alias("size"), F.col("hot_head").alias("head"), F.col("hot_parity").alias("parity"), F.col("hot").alias("shingles"))
-    found = stored(links(stored(cold.unionAll(first))))
+    found = gathered(links(gathered(cold.unionAll(first))))
     # A hot node's sets link with each other if it is linked, or if its hot shingles are enough by themselves.
     linked = found.where("a < 0").select(F.explode(F.array("a", "b")).alias("x")).distinct().withColumn("linked", F.lit(True))
     members = hot.select("node", "h1", "h2", "hot_size", "n").join(leads, ["h1", "h2", "hot_size", "n"]).select("node", "n", "hot_size", F.expr("-1 - lead").alias("x"))

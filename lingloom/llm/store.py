@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a stored table that one task reads (``gathered``).
+PART = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; where none is set a local one is made, on a single machine only."""
@@ -28,6 +31,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """``stored``, but read by a task for each PART bytes and not for each partition that it was made in.
+
+    For steps that take few rows through many shuffles: a shuffle's tasks follow its setting, and each task that reads one of
+    them and writes the next leaves files and events, however few its rows are. Never one part, which a join or an
+    aggregate would take for a reason not to deal its rows out.
+    """
+    out = stored(df)
+    made = out._jdf.queryExecution().logical().rdd()
+    path = out.sparkSession._jvm.org.apache.hadoop.fs.Path(made.getCheckpointFile().get())
+    size = path.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    parts = max(2, -(-size // PART))
+    return out.coalesce(parts) if parts < made.getNumPartitions() else out
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a Parquet table in the shared folder; its size is known, so a small one may be broadcast."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
