@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.languages import language
+from ..plans.compose import in_batches
 from ..plans.pipeline import REGISTRY, Pipeline
 
 
@@ -29,12 +26,4 @@ def register_function(spark: SparkSession, name: str, stage: str, lang: str = "E
     function = REGISTRY[stage].python(language(lang))
     if function is None:
         raise ValueError(f"{stage!r} is a native expression: use register_view")
-    spark.udf.register(name, F.arrow_udf(_over(function), "string"))
-
-
-def _over(function: Callable[[str], str]) -> Callable[[pa.Array], pa.Array]:
-    def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return run
+    spark.udf.register(name, in_batches([function]))

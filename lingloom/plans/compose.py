@@ -6,16 +6,20 @@ images. A table becomes one ``translate``, preceded by a ``replace`` for each ch
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.base import is_ascii
 
 Table = dict[str, str]
+#: Bytes of text that are Python's strings at a time.
+CHUNK = 1 << 20
 
 
 def compose(first: Table, then: Table) -> Table:
@@ -59,25 +63,39 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def in_batches(functions: Sequence[Callable[[str], str]]) -> Callable[..., Column]:
+    """A column function: the functions one after the other on each text, in Arrow batches.
+
+    Of a batch, about ``CHUNK`` bytes are Python's strings at a time, and their results go back before the next ones are
+    read, so memory follows the batch as it came and its longest text, not the results.
+    """
+    steps = list(functions)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            # Texts that end in the same stretch of CHUNK bytes make a chunk: without its first text it is smaller than that.
+            starts = [0, *(np.flatnonzero(np.diff(ends // CHUNK)) + 1).tolist(), len(texts)]
+            for start, end in zip(starts, starts[1:], strict=False):
+                out = texts.slice(start, end - start).to_pylist()
+                for i, text in enumerate(out):
+                    if text is not None:
+                        for step in steps:
+                            text = step(text)
+                        out[i] = text
+                yield pa.array(out, pa.string())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")
+
+
 def in_python(col: Column, functions: Sequence[Callable[[str], str]], gates: Sequence[Callable[[Column], Column] | None] = ()) -> Column:
     """The functions one after the other, in one round trip of Arrow batches.
 
     If each has a gate, a native look that is false only where the function changes nothing, texts that pass none
     stay behind: no function would change them, so neither do all of them.
     """
-    steps = list(functions)
-
-    def run(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            if text is not None:
-                for step in steps:
-                    text = step(text)
-            out.append(text)
-        return pa.array(out, pa.string())
-
-    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    call = F.arrow_udf(run, "string")
+    call = in_batches(functions)
     if not gates or None in gates:
         return call(col)
     some = reduce(Column.__or__, [gate(col) for gate in gates])
