@@ -52,3 +52,17 @@ def test_texts_of_every_size(spark):
 def test_no_rows(spark):
     frame = spark.range(0).select(F.lit("é").alias("text"))
     assert Pipeline.from_names(["nfd"]).transform(frame).collect() == []
+
+
+def test_wide_letters_are_sent_back_chunk_by_chunk():
+    """What nfkc_ascii sends: a batch gives several results, each of about a chunk, with the batch's rows in order."""
+    import pyarrow as pa
+
+    from lingloom.plans.compose import CHUNK, in_batches
+
+    texts = [None, *("Ａ" * (1000 + k) for k in range(2000)), None]
+    run = in_batches([lambda text: unicodedata.normalize("NFKC", text)]).func
+    parts = list(run(iter([pa.array(texts), pa.array([], pa.string()), pa.array(texts).slice(5, 7)])))
+    assert sum(map(len, parts)) == len(texts) + 7 and max(p.nbytes for p in parts) < CHUNK
+    want = [None if t is None else "A" * len(t) for t in texts]
+    assert [t for p in parts for t in p.to_pylist()] == want + want[5:12]
